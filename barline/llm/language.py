@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .shared import text_slices
 
 DIMS = 4096
+MANY_LABELS = 10_000
 ORDERS = (1, 2, 3, 4)
 LETTER = re.compile(r"[^\W\d_]")
 #: A-Z to a-z; bytes of other letters stay; everything else is a space.
@@ -122,11 +123,12 @@ def fit_centroids(texts: list[str], langs: list[str], per_language: int = 4, rej
 def hashed_sample(df: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:
     """About `per_label` rows of each label (all, where there are fewer), by a hash of the id.
 
-    The expected number is the bound; the labels' counts are pre-aggregated and joined as a table of
-    one row for each label.
+    The expected number is the bound. The labels' counts have one row for each label; they are broadcast
+    where there are at most `MANY_LABELS`, so that no text is shuffled by its label.
     """
     sized = df.groupBy(label_col).agg(F.count("*").alias("_n")).withColumnRenamed(label_col, "_label")
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), 11) / F.lit(float(1 << 53))
+    sized = F.broadcast(sized) if sized.limit(MANY_LABELS + 1).count() <= MANY_LABELS else sized
     return df.join(sized, F.col(label_col) == F.col("_label")).where(draw < per_label / F.col("_n")).drop("_n", "_label")
 
 

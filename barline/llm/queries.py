@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, sentencepiece, token_files, toxicity
+from . import chat, decontaminate, language, lines, minhash, sentencepiece, suffixes, token_files, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_and_decode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -61,10 +83,55 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_sentencepiece, op4_chat_format, op6_language_id, op9_toxicity, op10_token_files)
+    for f in (
+        op1_line_dedup, op2_minhash_dedup, op3_sentencepiece, op4_chat_format, op5_suffix_dedup, op6_language_id, op7_decontaminate, op8_vector_dedup, op9_toxicity,
+        op10_token_files,
+    )
 }
 
 ORACLE = {
+    "op8_vector_dedup": r"""
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a, v b
+  where a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+r as (select vec_id, vec_id as seen from embeddings union select r.vec_id, l.b from r, l where l.a = r.seen),
+c as (select vec_id, min(seen) as component_id from r group by vec_id),
+d as (select a as vec_id, count(*) as n_links from l group by a)
+select e.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, component_id = e.vec_id as kept
+from embeddings e join c on c.vec_id = e.vec_id left join d on d.vec_id = e.vec_id
+""",
+    "op1_line_dedup": r"""
+with d as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+w as (select doc_id, l, unnest(range(len(l) - 2)) as pos from d where len(l) >= 3),
+k as (select doc_id, pos, l[pos + 1] || chr(10) || l[pos + 2] || chr(10) || l[pos + 3] as said from w
+  where length(l[pos + 1]) + length(l[pos + 2]) + length(l[pos + 3]) > 0),
+f as (select doc_id, pos, row_number() over (partition by said order by doc_id, pos) as nth from k),
+c as (select distinct doc_id, unnest(range(pos, pos + 3)) as line from f where nth > 1),
+x as (select doc_id, unnest(l) as said, unnest(range(len(l))) as line from d),
+r as (select x.doc_id, count(c.line) as n_removed,
+    string_agg(x.said, chr(10) order by x.line) filter (where c.line is null) as kept
+  from x left join c on x.doc_id = c.doc_id and x.line = c.line group by x.doc_id)
+select d.doc_id, coalesce(len(l), 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
+  case when d.text is not null then sha256(coalesce(kept, '')) end as kept_sha256
+from d left join r on d.doc_id = r.doc_id
+""",
+    "op7_decontaminate": r"""
+with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+bw as (select item_id::varchar as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bs as (select item_id, w, least(len(w), 10) as n from bw where len(w) > 0),
+bx as (select distinct item_id, n, array_to_string(w[p + 1 : p + n], ' ') as said from (select *, unnest(range(len(w) - n + 1)) as p from bs)),
+dx as (select doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') as said
+  from (select doc_id, w, n, unnest(range(len(w) - n + 1)) as p from dw, (select distinct n from bs) where len(w) >= n)),
+h as (select doc_id, item_id, dx.n, p from dx join bx on dx.n = bx.n and dx.said = bx.said),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from h) group by doc_id),
+i as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from h group by doc_id)
+select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join c on dw.doc_id = c.doc_id left join i on dw.doc_id = i.doc_id
+""",
     "op4_chat_format": r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -84,7 +84,7 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_bags(texts: list[str], labels: list[int], rounds: int = 300, rate: float = 0.15, shrink: float = 2e-4) -> BagModel:
+def fit_bags(texts: list[str], labels: list[int], rounds: int = 400, rate: float = 0.15, shrink: float = 3e-5) -> BagModel:
     """Train by gradient steps (Adam) on the log likelihood of the noisy-or."""
     y = np.array(labels, float)
     if len(set(labels)) < 2:
@@ -156,9 +156,10 @@ def learn_toxicity(
 def score_toxicity(
     df: DataFrame, model: BagModel, text_col: str = "text", id_col: str = "doc_id", keep: bool = False
 ) -> DataFrame:
-    """(id, score) for every row, by row: no shuffle. keep: all columns of df, and `score`."""
+    """(id, score) for every row, by row: no shuffle. keep: all columns of df, and `score` in place of
+    a column of that name."""
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    names = df.columns if keep else [id_col]
+    names = [c for c in df.columns if c != "score"] if keep else [id_col]
     text_at = f"_{text_col}"
 
     def run(batches):
