@@ -35,7 +35,7 @@ class ChunkEncoder:
         opens: np.ndarray,
         same_first: bool,
         marked: str | None = None,
-        limit: int = 1_200_000,
+        limit: int = 500_000,
         audit: Callable | None = None,
     ):
         self.encode, self.opens, self.same_first = encode, opens, same_first
@@ -88,10 +88,9 @@ class ChunkEncoder:
         marked = self.marked
         odd = np.fromiter((c != c.strip() or not c or (marked is not None and marked in c) for c in chunks), bool, len(chunks))
         shown = ["x" if o else c for c, o in zip(chunks, odd)]
-        groups = [shown[i : i + 2000] for i in range(0, len(shown), 2000)]
+        groups = [shown[i : i + 1000] for i in range(0, len(shown), 1000)]
         flats, lengths = [], []
-        for group, ids in zip(groups, self.encode([self.lead + " ".join(g) for g in groups])):
-            ids = np.array(ids, np.int32)
+        for group, ids in self._encoded(groups):
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) == len(group) and cuts[0] == 0:
                 flats.append(ids)
@@ -102,6 +101,13 @@ class ChunkEncoder:
                 lengths.append(n)
         self._add(self.later, chunks, [self.lead + c for c in shown], np.concatenate(flats), np.concatenate(lengths), odd)
 
+    def _encoded(self, groups: list[list[str]], at_once: int = 16):
+        """Each group with its ids; few groups at once, since the tokenizer's own results are large."""
+        for i in range(0, len(groups), at_once):
+            some = groups[i : i + at_once]
+            for group, ids in zip(some, self.encode([self.lead + " ".join(g) for g in some])):
+                yield group, np.array(ids, np.int32)
+
     def _known(self, table: dict[str, int], chunks: list[str], learn: Callable) -> np.ndarray:
         found = list(map(table.get, chunks))
         if None in found:

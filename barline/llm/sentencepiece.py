@@ -148,7 +148,7 @@ def chunks_are_independent(m: PieceModel) -> bool:
 class PieceCodec:
     """Encodes and decodes batches; one for each worker and model."""
 
-    def __init__(self, model_path: str, threads: int = 2, verify: bool = True, chunk_limit: int = 1_200_000):
+    def __init__(self, model_path: str, threads: int = 2, verify: bool = True, chunk_limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         with open(model_path, "rb") as f:

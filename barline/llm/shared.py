@@ -61,7 +61,7 @@ def row_key(*columns: str) -> tuple[Column, Column]:
     return F.xxhash64(*tagged), F.xxhash64(F.lit(0x5EED), *tagged)
 
 
-def text_slices(batch, column: str, max_bytes: int = 8 << 20) -> Iterator:
+def text_slices(batch, column: str, max_bytes: int = 4 << 20) -> Iterator:
     """Parts of an Arrow batch whose texts take about `max_bytes` each, one row at least."""
     import numpy as np
     import pyarrow.compute as pc
