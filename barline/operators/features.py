@@ -6,12 +6,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bars import full, history, over, rows
 
 TINY = 1e-12
 
 
+def correlation(a: str, b: str, window) -> Column:
+    """Correlation over a window within -1 and 1, null where a side is constant."""
+    spread = F.stddev_pop(a).over(window) * F.stddev_pop(b).over(window)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.covar_pop(a, b).over(window), spread)))
+
+
 def sma(column: str, n: int, keys=("symbol",)) -> Column:
     w = rows(n - 1, keys=keys)
     return full(F.avg(column).over(w), n, w)
@@ -47,7 +54,8 @@ def accumulation(bars: DataFrame, extreme: float = -50.0, keys=("symbol",)) -> D
     last3, last20 = rows(2, keys=keys), rows(19, keys=keys)
     ma, mean = sma("close", 20, keys), F.avg("volume").over(last20)
     df = bars.withColumn("clv", F.when(span == 0, 0.0).otherwise((2 * F.col("close") - F.col("high") - F.col("low")) / span))
-    df = df.withColumn("ad", F.sum(F.col("clv") * F.col("volume")).over(history(keys)))
+    # a running sum's last digits depend on the order of its terms; they must not make a turn
+    df = df.withColumn("ad", F.round(F.sum(F.col("clv") * F.col("volume")).over(history(keys)), 6))
     df = df.withColumn("ma", ma).withColumn("rn", F.row_number().over(w))
     one, two = F.lag("ad", 1).over(w), F.lag("ad", 2).over(w)
     enough = F.count(F.lit(1)).over(last20) >= 20
@@ -97,7 +105,7 @@ def order_flow(bars: DataFrame, lookback: int = 20, print_factor: float = 2.5, k
         df.withColumns({"volumes": volumes, "mid": mid, "cvd_approx": F.sum("signed").over(w)})
         .withColumns({
             "cvd_divergence": F.when(flat | (F.count(F.lit(1)).over(w) < 2), 0.0).otherwise(
-                F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr("cum", "path").over(w)))
+                correlation("cum", "path", w)
             ),
             "buy_share": F.when(both > 0, buy / both).otherwise(0.5),
             "large_prints": F.size(F.filter("volumes", lambda v: (v > print_factor * F.col("mid")) & (F.col("mid") > 0))),
@@ -127,7 +135,7 @@ def moving_share(bars: DataFrame, column: str, n: int, out: str, keys=("symbol",
     For long frames: a list of each frame would cost n for every row, so a sorted list is kept by one pass
     over each symbol (log n searches). Chunk long histories with by_time_chunks.
     """
-    schema = bars.schema.add(out, "double")
+    schema = StructType([*bars.schema, StructField(out, DoubleType())])
     keys = list(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -263,9 +271,9 @@ def rolling_correlation(asset: DataFrame, macro: DataFrame, days: int = 30) -> D
     """
     pairs = asset.join(macro.select(F.col("symbol").alias("series"), "day", F.col("ret").alias("macro_ret")), "day")
     w = Window.partitionBy("symbol", "series").orderBy("day").rowsBetween(-(days - 1), 0)
-    corr = F.corr("ret", "macro_ret").over(w)
+    corr = correlation("ret", "macro_ret", w)
     enough = F.count(F.lit(1)).over(w) >= max(5, days // 2)
-    return pairs.withColumn("corr", F.when(enough & ~F.isnan(corr), corr)).select("symbol", "series", "day", "corr")
+    return pairs.withColumn("corr", F.when(enough, corr)).select("symbol", "series", "day", "corr")
 
 
 def macro_regime(dxy: Column, us10y: Column, spx: Column) -> Column:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 from .signals import VAGUE
 
@@ -31,7 +32,7 @@ def reward_risk(entry: Column, stop: Column, target: Column) -> Column:
 
 def close_trades(trades: DataFrame, closes: DataFrame) -> DataFrame:
     """Journal after closing events (trade_id, exit_price, closed_at, exit_reason, notes); an id that isn't open is left alone."""
-    first = closes.groupBy("trade_id").agg(F.min_by(F.struct("exit_price", "closed_at", "exit_reason", "notes"), "closed_at").alias("_c"))
+    first = closes.groupBy("trade_id").agg(F.min(F.struct("closed_at", "exit_price", "exit_reason", "notes")).alias("_c"))
     hit = F.col("_c").isNotNull() & (F.col("status") == "OPEN")
     r = closed_r(F.col("direction"), F.col("entry"), F.col("stop"), F.col("_c.exit_price"))
     note = F.when(F.coalesce(F.col("_c.notes"), F.lit("")) == "", F.col("notes")).otherwise(
@@ -185,7 +186,7 @@ def ks_pvalue(d: float, n1: int, n2: int) -> float:
     return float(min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)))))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([ks_pvalue(a, int(b), int(c)) for a, b, c in zip(d, n1, n2)])
 
@@ -228,7 +229,7 @@ def _canonical(text: str) -> str:
     return json.dumps(value if isinstance(value, dict) else {"text": text}, sort_keys=True)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical(text: pd.Series) -> pd.Series:
     """JSON with sorted keys; other text as {"text": ...}."""
     return text.map(lambda t: None if t is None else _canonical(t))
@@ -271,7 +272,7 @@ def similar(entries: DataFrame, target: str, threshold: float = 0.9) -> DataFram
     """Entries (hypothesis_id, hypothesis_text) at least so similar to one target, best first."""
     wanted = json.loads(_canonical(target))
 
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def score(text: pd.Series) -> pd.Series:
         return text.map(lambda t: alike(wanted, json.loads(_canonical(t))))
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def periods_per_year(bar_seconds: int) -> int:
@@ -72,7 +73,7 @@ def trade_summary(trades: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))) if v == v else None)
 

@@ -1,4 +1,6 @@
 """Every query of the engine by name, and DuckDB SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import market, records
+
+QUERIES = {**market.QUERIES, **records.QUERIES}
+ORACLE = {**market.ORACLE, **records.ORACLE}
