@@ -137,11 +137,11 @@ def recurring_tags(closed: DataFrame, losing: bool, top: int = 5) -> DataFrame:
 
 
 def wilson(wins: Column, n: Column) -> tuple[Column, Column]:
-    p, z2 = wins / n, Z95 * Z95
+    n, p, z2 = F.nullif(n, F.lit(0)), F.try_divide(wins, n), Z95 * Z95
     scale = 1 + z2 / n
     mid = (p + z2 / (2 * n)) / scale
     off = Z95 * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n) / scale
-    return F.when(n <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), mid - off)), F.when(n <= 0, 1.0).otherwise(F.least(F.lit(1.0), mid + off))
+    return F.when(n.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), mid - off)), F.when(n.isNull(), 1.0).otherwise(F.least(F.lit(1.0), mid + off))
 
 
 def ks_distance(sample: DataFrame, key: str, group: str, value: str) -> DataFrame:
@@ -188,7 +188,7 @@ def ks_pvalue(d: float, n1: int, n2: int) -> float:
 
 @pandas_udf(DoubleType())
 def ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    return pd.Series([ks_pvalue(a, int(b), int(c)) for a, b, c in zip(d, n1, n2)])
+    return pd.Series([1.0 if a is None or a != a else ks_pvalue(a, int(b), int(c)) for a, b, c in zip(d, n1, n2)])
 
 
 def drift(live: DataFrame, backtest: DataFrame, key: str, window: int | None = None) -> DataFrame:
