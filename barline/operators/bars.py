@@ -97,15 +97,19 @@ def timeframe_minutes(bars: DataFrame) -> DataFrame:
     )
 
 
-def by_time_chunks(bars: DataFrame, build, days: int, overlap_days: int) -> DataFrame:
-    """Apply `build(bars, keys)`, whose frames reach back at most `overlap_days`, to chunks of time.
+def by_time_chunks(bars: DataFrame, build, days: int, lookback: int) -> DataFrame:
+    """Apply `build(bars, keys)`, whose frames reach back at most `lookback` rows, to chunks of time.
 
     One symbol with a long history is then many window partitions instead of one task. Each chunk also
-    gets the rows of the overlap before it, and they are dropped afterwards.
+    gets the days before it that hold its `lookback` preceding rows (counted by day, so gaps don't matter), and
+    they are dropped afterwards. The plan of days and chunks is small: a row for each symbol and day.
     """
     day = F.floor(F.col("ts").cast("double") / 86400)
-    own = F.floor(day / days).cast("long")
-    reach = F.floor((day + overlap_days) / days).cast("long")
-    copies = bars.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence("_own", F.greatest("_own", reach))))
-    built = build(copies, ("symbol", "_chunk"))
-    return built.where("_own = _chunk").drop("_own", "_chunk")
+    counts = bars.groupBy("symbol", day.alias("_day")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("symbol").orderBy("_day"))
+    own = counts.withColumns({"upto": upto, "_own": F.floor(F.col("_day") / days)})
+    starts = own.groupBy("symbol", F.col("_own").alias("_chunk")).agg(F.min(F.col("upto") - F.col("n")).alias("before"))
+    extra = own.join(starts, "symbol").where((F.col("_chunk") > F.col("_own")) & (F.col("before") - F.col("upto") < lookback))
+    plan = own.withColumn("_chunk", F.col("_own")).select("symbol", "_day", "_own", "_chunk").union(extra.select("symbol", "_day", "_own", "_chunk"))
+    copies = bars.withColumn("_day", day).join(plan, ["symbol", "_day"]).drop("_day")
+    return build(copies, ("symbol", "_chunk")).where("_own = _chunk").drop("_own", "_chunk")

@@ -97,7 +97,7 @@ def q_confluence(spark, d):
 
 def q_confluence_chunked(spark, d):
     """The same by chunks of time: many window partitions for one symbol."""
-    whole = B.by_time_chunks(candles(spark, d), X.confluence, days=10, overlap_days=12)
+    whole = B.by_time_chunks(candles(spark, d), X.confluence, days=10, lookback=200)
     return shown(whole.select("symbol", "ts", "ma50", "ma50_slope_bp", "ret20_bp", "atr_pct"))
 
 
@@ -472,7 +472,7 @@ ORACLE = {
   best as (select split, arg_max(rb, ra) as oos, max(n) as n from k group by split)
   select count(*) as n_splits, {r('avg(case when abs(oos - (n - 1) / 2) < 1e-9 then 0.5 when oos < (n - 1) / 2 then 1.0 else 0.0 end)', 'pbo')} from best where n >= 2""",
     "cv_walk_forward_folds": f"""with {bars_sql()}, c as (select symbol, count(*) as n from bars group by symbol),
-  z as (select symbol, n, case when n < 250 then greatest(1, floor(n * 0.7)) else 200 end::bigint as i, n < 250 as short from c), y as (select *, case when short then greatest(1, n - i) else 50 end::bigint as o from z),
+  z as (select symbol, n, case when n < 250 then greatest(1, floor(n * 0.7::double)) else 200 end::bigint as i, n < 250 as short from c), y as (select *, case when short then greatest(1, n - i) else 50 end::bigint as o from z),
   x as (select *, case when short then o else 50 end as hop from y), f as (select symbol, i, o, hop, unnest(range(0, n - i - o + 1, hop)) as pos from x)
   select symbol, (pos / hop)::bigint as step, 'is' as part, pos as lo, pos + i - 1 as hi from f union all select symbol, (pos / hop)::bigint, 'oos', pos + i, pos + i + o - 1 from f""",
     "cv_groups": f"with {_GROUPS} select symbol, grp::bigint as grp, lo, hi from b where hi >= lo",
@@ -490,7 +490,7 @@ ORACLE = {
     + case when l_returnflag = 'R' then -1 else 1 end * 1.5 * greatest(date_diff('microsecond', o_orderdate, l_shipdate) / 3600e6, 0.0) / 8 as cost from lineitem join orders on l_orderkey = o_orderkey)
   select l_returnflag, l_linestatus, {r('avg(cost)', 'cost_bp')}, count(*) as n from x group by 1, 2""",
     "risk_plan": f"""with x as (select p_partkey, p_retailprice as e, case when p_size > 25 then -1.0 else 1.0 end as s from part)
-  select p_partkey, {r('e - s * e * 50 / 10000', 'stop_loss')}, {r('e + s * e * 35 / 10000', 'tp1')}, {r('e + s * e * 70 / 10000', 'tp2')}, {r('e + s * e * 120 / 10000', 'tp3')}, {r('least(100 / (e * 50 / 10000), 12)', 'position_size')}, {r('100.0', 'risk_amount')} from x""",
+  select p_partkey, {r('e - s * e * 50 / 10000', 'stop_loss')}, {r('e + s * e * 35 / 10000', 'tp1')}, {r('e + s * e * 70 / 10000', 'tp2')}, {r('e + s * e * 120 / 10000', 'tp3')}, {r('least(100 / (e * 50 / 10000), 12)', 'position_size')}, {r('100.0::double', 'risk_amount')} from x""",
     "book_features": f"""with o as (select o_orderdate::date as day, o_orderstatus = 'O' as bid, o_totalprice as p, (o_custkey % 10)::double as s, o_orderkey as k from orders),
   n as (select *, case when bid then row_number() over (partition by day, bid order by p desc, s desc, k desc) else row_number() over (partition by day, bid order by p, s, k) end as l from o),
   b as (select day, coalesce(sum(case when bid and l <= 5 then s end), 0.0) as bid_size, coalesce(sum(case when not bid and l <= 5 then s end), 0.0) as ask_size, max(case when not bid and l = 1 then p end) - max(case when bid and l = 1 then p end) as spread from n group by day)

@@ -97,7 +97,7 @@ def test_chunked_windows_equal_whole(spark):
     df = C.random_walk(spark, 800)
     keep = ["ts", "ma50", "ret20_bp", "atr14"]
     a = X.confluence(df).select(*keep)
-    b = B.by_time_chunks(df, X.confluence, 7, 9).select(*keep)
+    b = B.by_time_chunks(df, X.confluence, 7, 200).select(*keep)
     near = a.alias("a").join(b.alias("b"), "ts").where("abs(a.ma50 - b.ma50) > 1e-9 or abs(a.atr14 - b.atr14) > 1e-9 or (a.ma50 is null) <> (b.ma50 is null)")
     assert a.count() == b.count() and near.count() == 0
 
