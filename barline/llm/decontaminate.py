@@ -71,7 +71,8 @@ def hits(docs: DataFrame, items: DataFrame, span: int, full: int) -> tuple[DataF
     """
     spark = docs.sparkSession
     own = items.where(F.size("w") >= span if span == full else F.size("w") == span)
-    marked = fingerprints(own, span)
+    # a table of its own: below an explode the optimizer would infer a filter on `mins` and work it out again for each word
+    marked, p3 = saved(fingerprints(own, span), "items")
     prints = marked.select(F.explode("mins").alias("fp")).distinct()
     prints, p1 = saved(prints, "prints")
     worded = docs.withColumn("w", words(F.col("text"))).drop("text")
@@ -92,7 +93,7 @@ def hits(docs: DataFrame, items: DataFrame, span: int, full: int) -> tuple[DataF
         F.sequence(F.lit(0), F.size("w") - span), lambda i: F.array_join(F.slice("w", i + 1, span), " ")
     )).alias("said")).distinct()
     got = places.join(maybe_broadcast(windows), "said").select("_k1", "_k2", "item_id", "pos", F.lit(span).alias("span"))
-    return got, [p1, p2]
+    return got, [p1, p2, p3]
 
 
 def contamination(
