@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_key
+from .shared import row_key, saved
 
 
 def line_array(column):
@@ -46,6 +46,8 @@ def covered_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         .withColumn("at", F.struct("id", "_k1", "_k2", "pos"))
     )
     first = occ.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").drop("n")
+    # a table of its own: the join's other side, with its hot windows, is then a shuffle that can be split
+    first, _ = saved(first, "first-windows")
     later = occ.join(first, ["h1", "h2"]).where(F.col("at") > F.col("first"))
     starts = later.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("starts"))
     return starts.select(

@@ -387,7 +387,8 @@ def _ranges(contexts: DataFrame, paths: list[str]) -> DataFrame:
         found = more if found is None else found.union(more)
 
     while True:
-        sizes = contexts.groupBy("g1", "g2").agg(F.count("*").alias("m")).where("m > 1")
+        sizes, path = saved(contexts.groupBy("g1", "g2").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+        paths.append(path)
         sized = contexts.join(sizes, ["g1", "g2"])
         small = sized.where(F.col("m") <= GROUP).select("k1", "k2", "pos", "g1", "g2", "before", "after")
         add(small.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_sorted_groups, "k1 long, k2 long, a long, b long"))
@@ -398,6 +399,8 @@ def _ranges(contexts: DataFrame, paths: list[str]) -> DataFrame:
         paths.append(path)
         same = ["g1", "g2", "before", "after"]
         counted = finer.groupBy(*same).agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "pos", "lo", "hi")).alias("one"))
+        counted, path = saved(counted, "counted")
+        paths.append(path)
         whole = finer.join(counted.where("m > 1").select(*same), same)
         add(whole.select("k1", "k2", (F.col("pos") - F.octet_length("before")).alias("a"), (F.col("pos") + F.octet_length("after")).alias("b")))
         contexts, path = saved(counted.select("one.*", *same), "contexts")
@@ -406,7 +409,7 @@ def _ranges(contexts: DataFrame, paths: list[str]) -> DataFrame:
 
 def repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """All rows as (id, k1, k2, n_bytes, sha, copies), and (k1, k2, n_removed, n_spans, kept_sha256, kept) of the
-    rows of which part is removed. A row with copies is removed whole if it has LENGTH bytes."""
+    rows of which part is removed (exactly repeated rows: as often). A row with copies is removed whole if it has LENGTH bytes."""
     spark = df.sparkSession
     k1, k2 = row_key("id", "text")
     t1, t2 = row_key("text")
@@ -414,17 +417,20 @@ def repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     keys = docs.select("id", "k1", "k2", t1.alias("t1"), t2.alias("t2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     keys, _ = saved(keys, "texts")
     copied = keys.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2")).alias("one")).where("copies > 1")
+    # the counted sides of joins are tables of their own: then the other side's hot keys can be split
+    copied, _ = saved(copied, "copied")
     keys = keys.join(copied, ["t1", "t2"], "left")
     rows = keys.select("id", "k1", "k2", "n_bytes", "sha", F.coalesce("copies", F.lit(1)).alias("copies"))
     others = keys.where("copies > 1").where((F.col("k1") != F.col("one.k1")) | (F.col("k2") != F.col("one.k2"))).select("k1", "k2").distinct()
     long = docs.where(F.octet_length("text") >= LENGTH).select("k1", "k2", "text")
     places = long.mapInArrow(_anchor_rows, "k1 long, k2 long, pos long, anchor long").join(others, ["k1", "k2"], "left_anti")
     places, p1 = saved(places, "anchors")
-    again = places.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    again, p6 = saved(places.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "repeated")
     own = places.join(again, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "anchor")).alias("places"))
     texts, p2 = saved(long.join(own, ["k1", "k2"]), "anchored")
     marks, p3 = saved(texts.mapInArrow(_context_hashes, "k1 long, k2 long, pos long, anchor long, c1 long, c2 long, a long, b long"), "contexts")
     counted = marks.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "pos")).alias("one"))
+    counted, p7 = saved(counted, "counted")
     whole, p4 = saved(marks.join(counted.where("m > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"]).select("k1", "k2", "a", "b"), "whole")
     mixed = counted.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     chosen = counted.join(mixed, "anchor").groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.pos", "anchor")).alias("places"))
@@ -432,7 +438,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         _context_bytes, "k1 long, k2 long, pos long, anchor long, before binary, after binary"
     ).select("k1", "k2", "pos", F.col("anchor").alias("g1"), F.lit(0).cast("long").alias("g2"), "before", "after", F.lit(0).alias("lo"), F.lit(BEFORE).alias("hi"))
     contexts, p5 = saved(contexts, "bytes")
-    paths = [p1, p2, p3, p4, p5]
+    paths = [p1, p2, p3, p4, p5, p6, p7]
     found = whole.union(_ranges(contexts, paths)).distinct()
     per_doc = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     cut, _ = saved(
@@ -448,7 +454,8 @@ def suffix_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     rows, cut = repeated_spans(df, text_col, id_col)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
-    return rows.join(cut.drop("kept"), ["k1", "k2"], "left").select(
+    once = cut.drop("kept").dropDuplicates(["k1", "k2"])  # exactly repeated rows have the same key
+    return rows.join(once, ["k1", "k2"], "left").select(
         F.col("id").alias(id_col), "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
