@@ -9,11 +9,11 @@ their full sets: 100 * intersection >= 75 * union. At similarity 0.75 a pair has
 matches with probability below 1e-6.
 
 Scale: the pairs of a list are never all emitted. First each member is compared with the list's first
-class; lists whose members are then all in one component are done. In the others further members serve
-as pivots, and at last members outside the list's largest component are compared with the members of other
-components, which leaves no pair of different components uncompared. So a group of n near copies costs about n
-comparisons for each pivot, and no link between components is lost. All joins on a list or a pivot are plain
-joins that the adaptive skew join splits.
+class; lists whose members are then all in one component are done. In the others (where they are so many that
+the last step would be dear, after further members served as pivots) the members outside the list's largest component
+are held against those of other components within the join: only pairs pass whose bitmaps of shingles allow a similarity of
+0.75, an upper bound that loses no link. So no pair of different components is left open, and what is emitted is near the number
+of links. All joins on a list or a pivot are plain joins that the adaptive skew join splits.
 
 Defined results: A-Z are lower-cased and words are cut at ASCII white space; with fewer than five words
 the whole sequence is the one shingle; null, empty and wordless texts have no shingle and link with nothing. Rows that repeat an id
@@ -34,8 +34,10 @@ SHINGLE = 5
 COORDS = 64
 MATCHES = 30
 PREFIX = COORDS - MATCHES + 1
-#: Further pivot rounds while the last comparison would emit more than CROWD pairs for each posting.
-ROUNDS, CROWD = 6, 8
+#: Further pivot rounds while the last step would look at more than CROWD pairs for each posting.
+ROUNDS, CROWD = 6, 500
+#: 64-bit words of a set's bitmap.
+BITS = 32
 
 _draw = np.random.default_rng(20240229)
 SALT = _draw.integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -109,8 +111,15 @@ def signatures(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sig array<int>")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each shingle's hash. A bit of one set that another lacks stands for a shingle it lacks."""
+    on = np.zeros(BITS * 64, np.uint8)
+    on[(shingles * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40)).astype(np.int64) % len(on)] = 1
+    return np.packbits(on).view(np.int64)
+
+
 def full_sets(df: DataFrame) -> DataFrame:
-    """(id, shingles array<long>) for (id, text)."""
+    """(id, shingles array<long>, bits array<long>) for (id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -118,28 +127,35 @@ def full_sets(df: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column("text"))
                 edge = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
+                bits = np.concatenate([bitmap(s) for s in sets])
+                each = np.arange(len(sets) + 1, dtype=np.int32) * BITS
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat))], ["id", "shingles"]
+                    [part.column("id"), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat)), pa.ListArray.from_arrays(pa.array(each), pa.array(bits))],
+                    ["id", "shingles", "bits"],
                 )
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, shingles array<long>")
+    return df.mapInArrow(run, f"id {kind}, shingles array<long>, bits array<long>")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(token, rep, n): each class under the rarest shared coordinate-value pairs of its prefix."""
+def postings(classes: DataFrame) -> tuple[DataFrame, str]:
+    """(token, rep, n): each class under the rarest shared coordinate-value pairs of its prefix; a shared table and its path."""
     tokens = classes.select("rep", "n", F.posexplode("sig").alias("at", "value")).select(
         "rep", "n", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("token")
     )
-    shared = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    # a table of its own: the tokens' side of the join is then a shuffle whose hot lists can be split
+    shared, path = saved(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "shared-tokens")
     listed = tokens.join(shared, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("f", "token")).alias("own"))
     # of its COORDS pairs a class has COORDS - size that nobody shares; they fill the prefix first
-    return (
+    posted = (
         listed.where(F.size("own") >= MATCHES)
         .select("rep", "n", F.slice(F.sort_array("own"), 1, F.size("own") - (COORDS - PREFIX)).alias("own"))
         .select("rep", "n", F.explode("own").alias("own"))
         .select(F.col("own.token").alias("token"), "rep", "n")
     )
+    posted, kept = saved(posted, "postings")
+    removed(classes.sparkSession, path)
+    return posted, kept
 
 
 def sizes_fit(a: str, b: str):
@@ -147,6 +163,20 @@ def sizes_fit(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * 75) & (F.col(b) * 100 >= F.col(a) * 75)
 
 
+def spread_bits(sets: DataFrame, prefix: str) -> DataFrame:
+    """(rep, prefix0 ..., prefixn): a set's bitmap as columns, and how many bits are on."""
+    words = [F.get("bits", F.lit(i)) for i in range(BITS)]
+    return sets.select("rep", *(w.alias(f"{prefix}{i}") for i, w in enumerate(words)), sum((F.bit_count(w) for w in words), F.lit(0)).alias(f"{prefix}n"))
+
+
+def bits_allow(x: str, y: str, nx: str, ny: str):
+    """Whether the bitmaps leave room for a similarity of 0.75: each bit that one set alone has is a shingle outside
+    the intersection."""
+    both = sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.col(f"{y}{i}"))) for i in range(BITS)), F.lit(0))
+    most = F.least(F.col(nx) - F.col(f"{x}n") + both, F.col(ny) - F.col(f"{y}n") + both)
+    return most * 100 >= (F.col(nx) + F.col(ny) - most) * 75
+
+
 class Linker:
     """Confirms candidate pairs of classes and keeps those that were compared."""
 
@@ -192,11 +222,11 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     sigs, p0 = saved(signatures(rows), "signatures")
     classes = sigs.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     classes, p1 = saved(classes, "classes")
-    posted, p2 = saved(postings(classes), "postings")
+    posted, p2 = postings(classes)
     needed = posted.select(F.col("rep").alias("id")).distinct()
     sets, p3 = saved(full_sets(rows.join(needed, "id")).withColumnRenamed("id", "rep"), "sets")
     link = Linker(classes, sets)
-    first = posted.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("pivot"))
+    first, p5 = saved(posted.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("pivot")), "pivots")
     star = posted.join(first.select("token", F.col("pivot.rep").alias("p"), F.col("pivot.n").alias("pn")), "token")
     link(star.where((F.col("rep") != F.col("p")) & sizes_fit("n", "pn")).select(F.col("rep").alias("a"), F.col("p").alias("b")))
     labels, path = components(link.links)
@@ -208,6 +238,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         lists = parts.groupBy("token").agg(
             F.count("*").alias("parts"), F.sum("m").alias("size"), F.max(F.struct("m", "component")).alias("main")
         ).where("parts > 1").select("token", F.col("main.component").alias("main"), (F.col("size") - F.col("main.m")).alias("out"), "size")
+        lists, p6 = saved(lists, "lists")
+        link.paths.append(p6)
         open_lists, p4 = saved(placed.join(lists, "token"), "open")
         cost = open_lists.agg(F.sum("out").alias("c"), F.count("*").alias("n")).first()
         if not cost.n:
@@ -215,10 +247,12 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
             break
         outside = open_lists.where("component <> main")
         if cost.c <= CROWD * cost.n or turn == ROUNDS:
-            far = outside.select("token", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
+            far = outside.select("token", "rep", F.col("n").alias("an"), F.col("component").alias("ac")).join(spread_bits(sets, "x"), "rep")
+            near = open_lists.join(spread_bits(sets, "y"), "rep")
             # of two members outside the main component, each finds the other; once is enough
-            pairs = far.join(open_lists, "token").where(
+            pairs = far.withColumnRenamed("rep", "a").join(near, "token").where(
                 (F.col("ac") != F.col("component")) & sizes_fit("an", "n") & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("rep")))
+                & bits_allow("x", "y", "an", "n")
             ).select("a", F.col("rep").alias("b"))
         else:
             pivot = outside.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "component")).alias("pivot"))
@@ -235,7 +269,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     )
     owners, _ = saved(owners, "owners")
     ids, _ = saved(sigs.select("id", "n", "f1", "f2"), "sets-of")
-    removed(spark, p0, p1, p2, p3, path, *link.paths)
+    removed(spark, p0, p1, p2, p3, p5, path, *link.paths)
     linked = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), linked)
     return ids.join(owners, ["f1", "f2", "n"], "left").select(
