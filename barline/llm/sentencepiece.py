@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .shared import text_slices, worker_cache
+from .shared import release, text_slices, worker_cache
 
 SPACE = "▁"
 #: Fixed values of the model format: piece types and model types.
@@ -200,6 +200,12 @@ class PieceCodec:
             good, flat, length = self._audit(shown, flat, length)
         return flat, length, good
 
+    def forget(self) -> None:
+        """Drop the chunk table: a worker that goes on to other stages doesn't keep it."""
+        if self.encoder is not None:
+            self.encoder.clear()
+            release()
+
     def decode(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 bytes of each document: its pieces' bytes, without the dummy prefix."""
         n = self.piece_start[flat + 1] - self.piece_start[flat]
@@ -234,6 +240,7 @@ def encode_documents(
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("id"), ids, pa.array(good)], ["id", "ids", "parity"])
+        codec(model_path, threads, verify).forget()
 
     kind = df.schema[id_col].dataType.simpleString()
     got = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
@@ -287,6 +294,7 @@ def encode_and_decode(df: DataFrame, model_path: str, threads: int = 2) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     cols, ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless", "parity"]
                 )
+        codec(model_path, threads, True).forget()
 
     return df.select("doc_id", "text").mapInArrow(
         run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, "

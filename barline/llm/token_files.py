@@ -28,7 +28,7 @@ class ByteEncoder:
     def __init__(self, path: str, threads: int):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["TOKENIZERS_PARALLELISM"] = str(threads > 1).lower()
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.tokenizer = t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
@@ -50,7 +50,7 @@ def encoder(path: str, threads: int) -> ChunkEncoder:
 def write_token_files(
     df: DataFrame, out: str, tokenizer_path: str, end_id: int, text_col: str = "text",
     id_col: str = "doc_id", encoding: str = "dictionary", row_group_bytes: int = 32 << 20,
-    page_bytes: int = 256 << 10, threads: int = 2,
+    page_bytes: int = 256 << 10, threads: int = 1,
 ) -> None:
     """Encode all rows and write them to `out`, one file for each range of ids.
 

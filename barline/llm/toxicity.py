@@ -29,7 +29,7 @@ WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?;])\s+|\n+")
 BEGINNINGS = (4, 5, 6)
 MAX_FEATURES = 3000
-MEMO = 500_000
+MEMO = 200_000
 
 
 def features(word: str) -> list[str]:
