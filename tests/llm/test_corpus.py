@@ -245,15 +245,22 @@ def test_chat_odd(spark):
 
 def brute_suffix(texts):
     raw = [(t or "").encode() for t in texts]
-    count = collections.Counter(d[i : i + 400] for d in raw for i in range(len(d) - 399))
+
+    def covered(size):
+        count = collections.Counter(d[i : i + size] for d in raw for i in range(len(d) - size + 1))
+        for d in raw:
+            gone = np.zeros(len(d) + 1, int)
+            for i in range(len(d) - size + 1):
+                if count[d[i : i + size]] > 1:
+                    gone[i : i + size] = 1
+            yield gone
+
     out = []
-    for d in raw:
-        gone = np.zeros(len(d) + 1, int)
-        for i in range(len(d) - 399):
-            if count[d[i : i + 400]] > 1:
-                gone[i : i + 400] = 1
+    for d, gone, short in zip(raw, covered(400), covered(256)):
         kept = bytes(np.frombuffer(d, np.uint8)[gone[:-1] == 0])
-        out.append((len(d), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        edge = np.flatnonzero(np.diff(short, prepend=0))
+        passages = sum(len(d[a:b].split()) > 50 for a, b in zip(edge[::2], edge[1::2]))
+        out.append((len(d), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), passages))
     return out
 
 
@@ -262,13 +269,26 @@ def test_suffixes_against_brute_force(spark, group, monkeypatch):
     monkeypatch.setattr(suffixes, "GROUP", group)
     rng = random.Random(8)
     passages = [prose(rng, rng.randint(70, 200)) for _ in range(5)]
-    texts = ["", None, "x" * 399, "x" * 400, "x" * 900, "ab" * 700, passages[0], passages[0]]
+    texts = ["", None, "x" * 255, "x" * 256, "x" * 399, "x" * 400, "x" * 900, "ab" * 700, passages[0], passages[0], "a " * 140, "a " * 140]
     for _ in range(40):
         p = rng.choice(passages)
         a = rng.randint(0, 80)
-        texts.append(" ".join([prose(rng, rng.randint(0, 30)), p[a : a + rng.randint(350, 1100)], "é" + prose(rng, rng.randint(0, 30))]))
+        texts.append(" ".join([prose(rng, rng.randint(0, 30)), p[a : a + rng.randint(200, 1100)], "é" + prose(rng, rng.randint(0, 30))]))
     got = suffixes.suffix_dedup(docs(spark, texts)).orderBy("doc_id").collect()
-    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_suffix(texts)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in got] == brute_suffix(texts)
+
+
+def test_anchors_across_segments(monkeypatch):
+    """A text longer than a segment has the anchors that it has in one segment."""
+    rng = np.random.default_rng(1)
+    raw = rng.integers(97, 101, 5000).astype(np.uint8)
+    edge = np.array([0, 300, 300, 4700, 5000])
+    whole = suffixes.anchors(raw, edge)
+    monkeypatch.setattr(suffixes, "SEGMENT", 700)
+    suffixes._powers.cache_clear()
+    parts = suffixes.anchors(raw, edge)
+    suffixes._powers.cache_clear()
+    assert all((a == b).all() for a, b in zip(whole, parts)) and len(whole[0]) > 40
 
 
 def test_deep_shallow_sort():
