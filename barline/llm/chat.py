@@ -61,8 +61,8 @@ def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, offs[:-1], np.diff(offs)
 
 
-def assemble(roles: pa.Array, texts: pa.Array) -> pa.Array:
-    """Each row's formatted turn, all of them in one preallocated buffer."""
+def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """Each row's formatted turn, all of them in one preallocated buffer, and the n + 1 offsets of the turns in it."""
     n = len(roles)
     columns = [escaped(roles), escaped(texts)]
     headers = [np.frombuffer(x.encode(), np.uint8) for x in (ROLE, TEXT, END)]
@@ -80,8 +80,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> pa.Array:
     for k, (raw, start, length) in enumerate(contents):
         step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         out[np.repeat(place[:, 2 * k + 1], length) + step] = raw[np.repeat(start, length) + step]
-    offsets = np.concatenate([[0], ends[4::5]]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), buffer)
+    return buffer, np.concatenate([[0], ends[4::5]]).astype(np.int64)
 
 
 def format_chats(
@@ -90,30 +89,37 @@ def format_chats(
     """(conv_id, formatted): one row for each conversation. One shuffle, by conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(keys, texts):
-            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(texts, pa.string())], ["conv_id", "formatted"])
+        # the conversation that may go on in the next batch
+        key: pa.Array | None = None
+        parts: list[bytes] = []
+
+        def last() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([key, pa.array([b"".join(parts)], pa.binary()).cast(pa.string())], ["conv_id", "formatted"])
 
-        kind, open_key, open_parts = None, None, []
         for batch in batches:
-            kind = batch.column("conv_id").type
-            if not batch.num_rows:
+            n, keys = batch.num_rows, batch.column("conv_id")
+            if not n:
                 continue
-            turns = assemble(batch.column("role"), batch.column("text"))
-            keys = batch.column("conv_id").to_pylist()
-            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-            runs = [(keys[a], "".join(turns[a:b].to_pylist())) for a, b in zip(edges, edges[1:])]
-            if open_parts and runs[0][0] != open_key:
-                runs.insert(0, (open_key, "".join(open_parts)))
-                open_parts = []
-            elif open_parts and len(runs) > 1:
-                runs[0] = (open_key, "".join([*open_parts, runs[0][1]]))
-                open_parts = []
-            open_key = runs[-1][0]
-            open_parts.append(runs[-1][1])
-            if len(runs) > 1:
-                yield done([k for k, _ in runs[:-1]], [t for _, t in runs[:-1]])
-        if open_parts:
-            yield done([open_key], ["".join(open_parts)])
+            buffer, offsets = assemble(batch.column("role"), batch.column("text"))
+            codes = np.asarray(keys.dictionary_encode(null_encoding="encode").indices)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [n]])
+            # a conversation's turns lie next to each other: it is a slice of the buffer
+            chats = pa.LargeStringArray.from_buffers(len(edge) - 1, pa.py_buffer(offsets[edge].tobytes()), buffer)
+            if key is not None and not key.equals(keys.slice(0, 1)):
+                yield last()
+                parts = []
+            if len(chats) > 1:
+                firsts, done = keys.take(pa.array(edge[:-2])), chats.slice(0, len(chats) - 1)
+                if parts:
+                    key, parts = firsts.slice(0, 1), [*parts, memoryview(buffer)[: int(offsets[edge[1]])]]
+                    yield last()
+                    firsts, done = firsts.slice(1), done.slice(1)
+                yield pa.RecordBatch.from_arrays([firsts, done.cast(pa.string())], ["conv_id", "formatted"])
+                parts = []
+            key = keys.slice(n - 1, 1)
+            parts.append(bytes(memoryview(buffer)[int(offsets[edge[-2]]) :]))
+        if key is not None:
+            yield last()
 
     kind = df.schema[conv_col].dataType.simpleString()
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
