@@ -3,9 +3,13 @@
 The model protobuf is parsed here (no protobuf runtime), and from it are rebuilt: the normaliser
 (precompiled map, extra white space, dummy prefix, escape to the metaspace mark), the metaspace
 split, the pieces with their scores (a unigram model takes the scores themselves, a BPE model the
-merges that they order) and byte fallback. Batches are encoded multithreaded. Parity with the
-sentencepiece library is verified for every distinct chunk a worker meets; where the two differ,
-sentencepiece's ids are taken and the document is marked.
+merges that they order) and byte fallback. Batches are encoded, and decoded again by the library's decoder,
+multithreaded. Parity with the sentencepiece library is verified for every chunk that a worker encodes, and for whole
+texts where a text isn't cut into chunks; where the two differ, the document is marked, and its ids stay as they are.
+
+Control, unused and byte pieces, and the unknown piece, are never matched in a text; a unigram model's user-defined
+pieces win over others as the format has it. A BPE model's user-defined pieces are merged like others, and where that differs
+parity says so.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes to "". Rows are
 independent, so repeated rows and null ids pass through, and further columns are kept out. Texts of
@@ -15,6 +19,7 @@ any length are encoded whole.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -109,17 +114,30 @@ def merges_by_score(m: PieceModel) -> list[tuple[str, str]]:
     return [(x[4], x[5]) for x in sorted(found)]
 
 
+#: Before the string of a piece that no text may match: a code point that is no character.
+UNMATCHED = "\U0010fffe"
+
+
+def unigram_pieces(m: PieceModel) -> list[tuple[str, float]]:
+    """Pieces and scores for the library's unigram model; those that never match keep their places under other strings."""
+    scores = [s for s, k in zip(m.scores, m.kinds) if k == NORMAL] or [0.0]
+    low, high = min(scores), max(scores)
+    return [
+        (p, s) if k == NORMAL else (p, len(p) * high - 0.1) if k == USER else (UNMATCHED + p, low)
+        for p, s, k in zip(m.pieces, m.scores, m.kinds)
+    ]
+
+
 def build_tokenizer(m: PieceModel):
     """The same model as a tokenizers.Tokenizer."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-    vocab = {p: i for i, p in enumerate(m.pieces)}
     unknown = m.kinds.index(UNKNOWN) if UNKNOWN in m.kinds else None
     if m.model_type == UNIGRAM:
-        model = models.Unigram(list(zip(m.pieces, m.scores)), unk_id=unknown, byte_fallback=m.byte_fallback)
+        model = models.Unigram(unigram_pieces(m), unk_id=unknown, byte_fallback=False)  # bytes of unknowns: PieceCodec
     elif m.model_type == BPE:
         model = models.BPE(
-            vocab, merges_by_score(m), fuse_unk=True, byte_fallback=m.byte_fallback,
+            {p: i for i, p in enumerate(m.pieces)}, merges_by_score(m), fuse_unk=True, byte_fallback=m.byte_fallback,
             unk_token=m.pieces[unknown] if unknown is not None else None,
         )
     else:
@@ -135,8 +153,9 @@ def build_tokenizer(m: PieceModel):
     t.normalizer = normalizers.Sequence(steps)
     if chunks_are_independent(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
+    hidden = [decoders.Replace(UNMATCHED, "")] if m.model_type == UNIGRAM else []
     ends = [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
-    t.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
+    t.decoder = decoders.Sequence([*hidden, decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
     return t
 
 
@@ -163,29 +182,32 @@ class PieceCodec:
         opens = np.array([p.startswith(SPACE) for p in m.pieces])
         by_chunk = chunks_are_independent(m) and m.dummy_prefix and m.escape_spaces and not m.charsmap
         self.encoder = ChunkEncoder(
-            self._encode, opens, True, SPACE, chunk_limit, self._audit if verify else None
+            self._encode, opens, True, re.compile(SPACE), chunk_limit, audit=self._audit if verify else None
         ) if by_chunk else None
-        shown = [
-            bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL
-            else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode()
-            for p, k in zip(m.pieces, m.kinds)
-        ]
-        self.piece_bytes = np.frombuffer(b"".join(shown), np.uint8)
-        self.piece_start = np.concatenate([[0], np.cumsum([len(x) for x in shown])])
+        self.unknown = m.kinds.index(UNKNOWN) if UNKNOWN in m.kinds else None
+        self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds)) if k == BYTE}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
+        if self.model.model_type == UNIGRAM and self.model.byte_fallback:  # the fast form leaves unknown tokens' strings out
+            got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [self._with_bytes(x) if self.unknown in x.ids else x.ids for x in got]
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _audit(self, texts: list[str], flat: np.ndarray, length: np.ndarray):
-        """Whether both libraries agree on each text; where they don't, the peer's ids are used."""
+    def _with_bytes(self, encoding) -> list[int]:
+        """Ids with each unknown token as the pieces of its bytes."""
+        return [
+            j for i, token in zip(encoding.ids, encoding.tokens)
+            for j in ([self.bytes[b] for b in token.encode()] if i == self.unknown else [i])
+        ]
+
+    def _audit(self, texts: list[str], flat: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether both libraries agree on each text."""
         lists = self.peer.encode(texts, num_threads=1)
         n = np.fromiter(map(len, lists), np.int64, len(lists))
-        theirs = np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum()))
-        if np.array_equal(n, length) and np.array_equal(theirs, flat):
-            return np.ones(len(texts), bool), flat, length
+        if np.array_equal(n, length) and np.array_equal(np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum())), flat):
+            return np.ones(len(texts), bool)
         edge = np.concatenate([[0], np.cumsum(length)])
-        same = [flat[a:b].tolist() == x for a, b, x in zip(edge, edge[1:], lists)]
-        return np.array(same, bool), theirs, n
+        return np.fromiter((flat[a:b].tolist() == x for a, b, x in zip(edge, edge[1:], lists)), bool, len(texts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the number for each text, and whether each text passed the parity check."""
@@ -195,10 +217,7 @@ class PieceCodec:
         lists = [x if t else [] for x, t in zip(self._encode(shown), shown)]
         length = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.int32, int(length.sum()))
-        good = np.ones(len(lists), bool)
-        if self.peer is not None:
-            good, flat, length = self._audit(shown, flat, length)
-        return flat, length, good
+        return flat, length, np.ones(len(lists), bool) if self.peer is None else self._audit(shown, flat, length)
 
     def forget(self) -> None:
         """Drop the chunk table: a worker that goes on to other stages doesn't keep it."""
@@ -206,17 +225,10 @@ class PieceCodec:
             self.encoder.clear()
             release()
 
-    def decode(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """UTF-8 bytes of each document: its pieces' bytes, without the dummy prefix."""
-        n = self.piece_start[flat + 1] - self.piece_start[flat]
-        end = np.cumsum(n)
-        where = np.repeat(self.piece_start[flat] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)
-        data = self.piece_bytes[where].tobytes()
-        edge = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        skip = int(self.model.dummy_prefix)
-        return [
-            data[a + (skip if data[a : a + 1] == b" " and b > a else 0) : b] for a, b in zip(edge, edge[1:])
-        ]
+    def decode(self, flat: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The text of each document, by the tokenizer's decoder."""
+        ids, edge = flat.tolist(), np.concatenate([[0], np.cumsum(counts)]).tolist()
+        return self.tokenizer.decode_batch([ids[a:b] for a, b in zip(edge, edge[1:])], skip_special_tokens=False)
 
 
 def codec(model_path: str, threads: int, verify: bool) -> PieceCodec:
@@ -259,8 +271,8 @@ def decode_documents(
         for batch in batches:
             lists = batch.column("ids")
             counts = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-            raw = codec(model_path, 2, False).decode(np.asarray(lists.flatten()), counts)
-            texts = [None if null else b.decode("utf-8", "replace") for b, null in zip(raw, lists.is_null().to_pylist())]
+            found = codec(model_path, 2, False).decode(np.asarray(lists.flatten()), counts)
+            texts = [None if null else t for t, null in zip(found, lists.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -270,25 +282,25 @@ def decode_documents(
 
 def encode_and_decode(df: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """Per document (doc_id, n_tokens, ids_crc32, decoded_sha256, lossless, parity): the text encoded,
-    its ids decoded again and the bytes compared, in one pass without a shuffle."""
+    its ids decoded again and the texts compared, in one pass without a shuffle."""
 
     def run(batches):
         import hashlib
 
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", 2 << 20):
                 c = codec(model_path, threads, True)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 flat, counts, good = c.encode(part.column("text"))
-                raw = c.decode(flat, counts)
+                back = c.decode(flat, counts)
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 little = flat.astype("<u4")
                 cols = [
                     part.column("doc_id"),
                     pa.array(counts),
                     pa.array([zlib.crc32(little[a:b]) for a, b in zip(edge, edge[1:])], pa.int64()),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in raw]),
-                    pa.array([b == t.encode() for b, t in zip(raw, texts)]),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
+                    pa.array([a == b for a, b in zip(back, texts)]),
                     pa.array(good),
                 ]
                 yield pa.RecordBatch.from_arrays(
