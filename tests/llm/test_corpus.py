@@ -178,8 +178,43 @@ def test_pieces_have_parity(model_path):
     flat, n, good = c.encode(pa.array(texts))
     edge = np.concatenate([[0], np.cumsum(n)])
     assert [flat[a:b].tolist() for a, b in zip(edge, edge[1:])] == [c.peer.encode(t) for t in texts] and good.all()
-    assert [b.decode() for b in c.decode(flat, n)] == [c.peer.decode(c.peer.encode(t)) for t in texts]
-    assert [c.tokenizer.decode(flat[a:b].tolist(), skip_special_tokens=False) for a, b in zip(edge, edge[1:])][8:20] == texts[8:20]
+    assert c.decode(flat, n) == [c.peer.decode(c.peer.encode(t)) for t in texts]
+
+
+def test_whole_documents_have_parity(spark, data, model_path):
+    """The query's digests against the sentencepiece library on whole texts."""
+    import sentencepiece as library
+
+    peer = library.SentencePieceProcessor(model_file=model_path)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = Q.op3_sentencepiece(spark, data).collect()
+    assert len(got) == len(texts) and all(r.parity and r.lossless for r in got)
+    for r in got:
+        ids = peer.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert r.decoded_sha256 == hashlib.sha256(peer.decode(ids).encode()).hexdigest()
+
+
+def test_disagreement_is_reported_not_replaced(model_path):
+    c = sentencepiece.PieceCodec(model_path)
+    want, _, _ = c.encode(pa.array(["one two three", "four"]))
+    c.encoder.clear()
+    encode = c.peer.encode
+    c.peer = type("Peer", (), {"encode": staticmethod(lambda texts, **k: [x + [7] if "two" in t else x for t, x in zip(texts, encode(texts))])})
+    flat, _, good = c.encode(pa.array(["one two three", "four"]))
+    assert good.tolist() == [False, True] and flat.tolist() == want.tolist()
+
+
+def test_chunk_table_is_bounded(model_path):
+    """A table that overflows keeps what many batches use, and ids stay those of whole texts."""
+    c = sentencepiece.PieceCodec(model_path, chunk_limit=40)
+    rng = random.Random(9)
+    for turn in range(6):
+        texts = ["the same words again", " ".join(f"w{turn}x{i}" for i in range(50)), prose(rng, 30)]
+        flat, n, good = c.encode(pa.array(texts))
+        edge = np.concatenate([[0], np.cumsum(n)])
+        assert [flat[a:b].tolist() for a, b in zip(edge, edge[1:])] == [c.peer.encode(t) for t in texts] and good.all()
+    assert "again" in c.encoder.later and len(c.encoder.later) < 200
 
 
 def test_unigram_model(tmp_path):
@@ -195,6 +230,7 @@ def test_unigram_model(tmp_path):
 
     pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{i:02X}>", -9.0, 6) for i in range(256)]
     pieces += [(p, -float(i + 1) / 3, 1) for i, p in enumerate(["▁the", "▁t", "he", "h", "e", "▁", "t", "▁cat", "c", "at", "a", "s", "▁s", "sat", "▁sat"])]
+    pieces += [("hec", -8.0, 4), ("tt", -0.1, 5)]
     data = b"".join(message(1, message(1, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in pieces)
     data += message(2, field(3, 0, b"\x01") + b"\x98\x02\x01".replace(b"\x98\x02", bytes([35 << 3 & 127 | 128, 35 << 3 >> 7])))
     data += message(3, message(1, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01"))
@@ -202,11 +238,11 @@ def test_unigram_model(tmp_path):
     path.write_bytes(data)
     c = sentencepiece.PieceCodec(str(path))
     assert c.model.model_type == sentencepiece.UNIGRAM and c.model.byte_fallback
-    texts = ["the cat sat", "theat é", "", "that"]
+    texts = ["the cat sat", "theat é", "", "that", "a <s> b", "</s>", "<0x41> a", "<unk>", "hechec the", "cattt", "漢字 sat🎉"]
     flat, n, good = c.encode(pa.array(texts))
     edge = np.concatenate([[0], np.cumsum(n)])
     assert [flat[a:b].tolist() for a, b in zip(edge, edge[1:])] == [c.peer.encode(t) for t in texts] and good.all()
-    assert [x.decode() for x in c.decode(flat, n)] == texts
+    assert c.decode(flat, n) == texts
 
 
 def test_pieces_odd(odd, none, model_path):
@@ -440,7 +476,6 @@ def brute_tokens(df):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(Q.tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows, at = [], 0
     for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64(F.col("text"))).collect():
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 2]
@@ -463,21 +498,72 @@ def test_tokens_odd(spark, odd, none):
     assert token_files.tokenize(spark, none, path, 2).count() == 0
 
 
+def test_tokens_of_special_strings_and_marks(spark):
+    """The library's plain ids for texts that hold its special string, other marks, digits and white space."""
+    rng = random.Random(12)
+    bits = ["<|endoftext|>", "a", "Über", "don't", "I'LL", "3.14", "x\ny", "\n\n", "\t", "", "ª", "漢字", "🎉", "=%%", "ſ", "é́", "\u00a0", "o<|endoftext|>o", "_", "'s", "v2.0's", "ʰa", "İ"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    df = docs(spark, texts)
+    got = token_files.tokenize(spark, df, Q.tokenizer_file("byte_bpe_50k.json"), 2).orderBy("start").collect()
+    assert [tuple(r) for r in got] == brute_tokens(df)
+
+
+def test_order_of_repeated_ids(spark, tmp_path):
+    """`start` is a document's place in the files where ids repeat, too."""
+    out = f"file://{tmp_path}/t"
+    df = docs(spark, [prose(random.Random(i), 5 + i) for i in range(40)], [i % 3 for i in range(40)])
+    token_files.write_token_files(df, out, Q.tokenizer_file("byte_bpe_50k.json"), 2)
+    rows = token_files.read_tokens(spark, out).orderBy("part", "row").collect()
+    at = 0
+    starts = {(r.doc_id, r.ids_crc32): r.start for r in token_files.digests(spark, out).collect()}
+    for r in rows:
+        assert starts[r.doc_id, zlib.crc32(np.array(r.ids, "<u4").tobytes())] == at
+        at += len(r.ids)
+    assert [r.doc_id for r in rows] == sorted(i % 3 for i in range(40))
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    rng = random.Random(13)
+    return docs(spark, [prose(rng, 30) for _ in range(6000)])
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
-def test_file_layout(spark, data, tmp_path, encoding):
+def test_file_layout(spark, many, tmp_path, encoding):
     import glob
 
     import pyarrow.parquet as pq
 
     out = str(tmp_path / encoding)
-    d = spark.read.parquet(f"{data}/documents.parquet")
-    token_files.write_token_files(d, "file://" + out, Q.tokenizer_file("byte_bpe_50k.json"), 2, encoding=encoding)
-    meta = pq.ParquetFile(sorted(glob.glob(f"{out}/*.parquet"))[0]).metadata.row_group(0)
-    column = next(meta.column(i) for i in range(meta.num_columns) if meta.column(i).path_in_schema.startswith("ids"))
+    token_files.write_token_files(many, "file://" + out, Q.tokenizer_file("byte_bpe_50k.json"), 2, encoding=encoding, row_group_bytes=64 << 10, page_bytes=8 << 10)
+    metas = [pq.ParquetFile(f).metadata for f in sorted(glob.glob(f"{out}/*.parquet"))]
+    group = metas[0].row_group(0)
+    column = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema.startswith("ids"))
     assert column.has_offset_index and (("DELTA_BINARY_PACKED" in column.encodings) == (encoding == "delta"))
+    assert any("DICTIONARY" in e for e in column.encodings) == (encoding == "dictionary")
+    groups = [m.row_group(i) for m in metas for i in range(m.num_row_groups)]
+    assert len(groups) > len(metas)
     assert token_files.read_tokens(spark, out, ["doc_id", "n_tokens"]).columns == ["doc_id", "n_tokens"]
 
 
+def test_range_reads_few_pages(spark, many, tmp_path):
+    """A range of documents is read by the pages that hold it: the scan gives few rows to the filter, and no ids where none are named."""
+    out = f"file://{tmp_path}/r"
+    token_files.write_token_files(many, out, Q.tokenizer_file("byte_bpe_50k.json"), 2, page_rows=50)
+    got = token_files.read_tokens(spark, out, ["doc_id", "ids"], 1000, 1020)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(1000, 1021))
+
+    def scan(plan):
+        while not plan.nodeName().startswith("Scan"):
+            plan = plan.children().head()
+        return plan
+
+    rows = scan(got._jdf.queryExecution().executedPlan()).metrics().apply("numOutputRows").value()
+    assert 21 <= rows <= 200
+    named = token_files.read_tokens(spark, out, ["doc_id", "n_tokens"], 1000, 1020)._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in named and "GreaterThanOrEqual(doc_id,1000)" in named
+
+
 # --- pipeline
 
 
