@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import removed, row_key, saved
+from .shared import free_names, removed, row_key, saved
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
@@ -129,8 +129,9 @@ def contamination(
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without the rows that hold a window of an item; all columns stay."""
     k1, k2 = row_key(id_col, text_col)
-    bad = contamination(docs, items, text_col, id_col).select("_k1", "_k2")
-    return docs.withColumns({"_k1": k1, "_k2": k2}).join(maybe_broadcast(bad), ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    names = free_names(docs, "_k1", "_k2")
+    bad = contamination(docs, items, text_col, id_col).select("_k1", "_k2").toDF(*names)
+    return docs.withColumns(dict(zip(names, (k1, k2)))).join(maybe_broadcast(bad), names, "left_anti").drop(*names)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

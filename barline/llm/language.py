@@ -9,7 +9,7 @@ Bounds: the classifier is fitted on about `per_language` labelled rows of each l
 hash of the id (so the same rows at every partitioning); all rows are predicted from whole texts.
 
 Defined results: a null text or one without a letter is `und` with score 0 and rejected; without any
-labelled row every text is `und`. Rows are independent: repeated rows and null ids pass through. Only
+labelled row every text is `und`. Of centroids with equal cosine the first wins, languages being in the order of their names. Rows are independent: repeated rows and null ids pass through. Only
 the named columns are read.
 """
 

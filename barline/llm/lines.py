@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_key, saved
+from .shared import free_names, row_key, saved
 
 
 def line_array(column):
@@ -56,21 +56,22 @@ def covered_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     )
 
 
-def line_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 3) -> DataFrame:
-    """df with the remaining text, and `n_lines`, `n_removed` before it (both of the input's lines).
+def line_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 3, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """df with the remaining text, and the numbers of lines and of removed lines (both of the input) in the columns `counts`.
 
-    Columns of df named like the added ones are replaced.
+    Columns of df named like those are replaced.
     """
+    a, b, covered_at, at = free_names(df, "_k1", "_k2", "_covered", "_l")
     k1, k2 = row_key(id_col, text_col)
-    names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    covered = covered_lines(df, text_col, id_col, window)
-    rows = df.select(*names).withColumns({"_k1": k1, "_k2": k2}).join(covered, ["_k1", "_k2"], "left")
-    rows = rows.withColumn("_l", F.when(F.col("_covered").isNotNull(), line_array(F.col(text_col))))
+    names = [c for c in df.columns if c not in counts]
+    covered = covered_lines(df, text_col, id_col, window).toDF(a, b, covered_at)
+    rows = df.select(*names).withColumns({a: k1, b: k2}).join(covered, [a, b], "left")
+    rows = rows.withColumn(at, F.when(F.col(covered_at).isNotNull(), line_array(F.col(text_col))))
     left = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_covered")), lambda i: F.get("_l", i)
+        F.array_except(F.sequence(F.lit(0), F.size(at) - 1), F.col(covered_at)), lambda i: F.get(at, i)
     )
     return rows.select(
-        *(F.when(F.col("_covered").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c) for c in names),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(line_array(F.col(text_col)))).cast("long").alias("n_lines"),
-        F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("long").alias("n_removed"),
+        *(F.when(F.col(covered_at).isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c) for c in names),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(line_array(F.col(text_col)))).cast("long").alias(counts[0]),
+        F.when(F.col(covered_at).isNull(), 0).otherwise(F.size(covered_at)).cast("long").alias(counts[1]),
     )

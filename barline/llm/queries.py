@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _crc(column: str):
-    return F.crc32(F.col(column).cast("string").cast("binary"))
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))  # a null id: 0
 
 
 def tokenizer_file(name: str) -> str:

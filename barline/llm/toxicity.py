@@ -8,7 +8,8 @@ Bounds: the model is fitted on about `per_class` labelled documents of each clas
 the id, and has at most `MAX_FEATURES` features. Every document is scored from its whole text.
 
 Defined results: a null or empty text has no sentence and score 0; without labelled rows of both
-classes every score is 0. Rows are independent: repeated rows and null ids pass through. Only the
+classes every score is 0. Features that say equally much about the label are taken in the order of their strings, so ties
+don't depend on partitioning. Rows are independent: repeated rows and null ids pass through. Only the
 named columns are read.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language import hashed_sample
-from .shared import text_slices
+from .shared import free_names
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?;])\s+|\n+")
@@ -154,24 +155,24 @@ def learn_toxicity(
 
 
 def score_toxicity(
-    df: DataFrame, model: BagModel, text_col: str = "text", id_col: str = "doc_id", keep: bool = False
+    df: DataFrame, model: BagModel, text_col: str = "text", id_col: str = "doc_id", keep: bool = False, score_col: str = "score",
 ) -> DataFrame:
-    """(id, score) for every row, by row: no shuffle. keep: all columns of df, and `score` in place of
-    a column of that name."""
+    """(id, score) for every row, by row: no shuffle. keep: all columns of df, and the score in place of
+    a column of its name."""
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    names = [c for c in df.columns if c != "score"] if keep else [id_col]
-    text_at = f"_{text_col}"
+    names = [c for c in df.columns if c != score_col] if keep else [id_col]
+    (text_at,) = free_names(df, "_text")
 
     def run(batches):
         own = BagModel(*shared.value)
         for batch in batches:
             score = [own.score(t) if t else 0.0 for t in batch.column(text_at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(score, pa.float64())], [*names, "score"]
+                [*(batch.column(c) for c in names), pa.array(score, pa.float64())], [*names, score_col]
             )
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.select(*names, F.col(text_col).alias(text_at)).mapInArrow(run, f"{fields}, score double")
+    return df.select(*names, F.col(text_col).alias(text_at)).mapInArrow(run, f"{fields}, `{score_col}` double")
 
 
 def locate(df: DataFrame, model: BagModel, text_col: str = "text", id_col: str = "doc_id", least: float = 0.5) -> DataFrame:

@@ -353,6 +353,32 @@ def test_language_held_out(spark, data):
     assert r.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_against_plain_vectors(spark, data):
+    """Predictions against TF-IDF vectors and cosines worked out text by text."""
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    m = language.learn_languages(df, F.col("doc_id") % 4 != 2)
+    some = df.where("doc_id % 8 = 2 and text is not null")
+    got = {x.doc_id: x for x in language.predict_languages(some, m).collect()}
+    for x in some.collect():
+        raw = b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in x.text.encode()) + b" "
+        count = collections.Counter()
+        for n in (1, 2, 3, 4):
+            for i in range(len(raw) - n + 1):
+                g = raw[i : i + n]
+                if n > 1 and g[:2] == b"  ":
+                    continue
+                code = 0
+                for c in g:
+                    code = (code * 257 + c) & 0xFFFFFFFF
+                count[(((code ^ n * 0x51ED27) * 2654435761) & 0xFFFFFFFF) >> 20] += 1
+        v = np.zeros(language.DIMS)
+        for k, c in count.items():
+            v[k] = np.log1p(c) * m.idf[k]
+        cosine = m.centroids @ (v / np.linalg.norm(v))
+        assert got[x.doc_id].score == pytest.approx(float(cosine.max()), abs=1e-4)
+        assert cosine[[o == got[x.doc_id].lang_pred for o in m.owner]].max() >= cosine.max() - 1e-4
+
+
 def test_language_odd(odd, none):
     model = language.fit_centroids(["der die das und ist", "the and of to is"] * 3, ["de", "en"] * 3, 2)
     r = {(x.doc_id): x for x in language.predict_languages(odd, model).collect()}
@@ -413,6 +439,20 @@ def test_vectors_against_brute_force(spark):
     assert sum(r.n_links for r in split) >= 0.97 * sum(n for n, _ in want) and all(r.n_links <= n for r, (n, _) in zip(split, want))
 
 
+def test_recall_over_many_leaves(spark):
+    """Planted links among vectors of many leaves, with the query's parameters: recall by link, and no wrong link."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((5000, 32))
+    near = base[:1500] + rng.standard_normal((1500, 32)) * 0.2
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32))]
+    want = brute_vectors(rows)
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("vec_id").collect()
+    assert all(r.n_links <= n for r, (n, _) in zip(got, want))
+    found, planted = sum(r.n_links for r in got), sum(n for n, _ in want)
+    print("recall", found, planted, found / planted)
+    assert planted > 2000 and found >= 0.98 * planted
+
+
 def test_blocks_count_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
     rng = np.random.default_rng(4)
@@ -460,6 +500,24 @@ def test_toxicity_query(spark, data):
     assert r.where("score < 0 or score > 1 or score is null").count() == 0 and r.count() == spark.read.parquet(f"{data}/documents.parquet").count()
 
 
+def test_toxicity_held_out_and_scores(spark):
+    """Quality on held-out rows, and each score as the noisy-or of the sentences, worked out anew."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    r = Q.op9_toxicity(spark, d).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
+    assert (r[r.toxic == 1].predicted == 1).mean() >= 0.8 and (r[r.toxic == 0].predicted == 0).mean() >= 0.98
+    m = toxicity.learn_toxicity(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    some = docs.where("doc_id % 50 = 1")
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(some, m).collect()}
+    for x in some.collect():
+        clean = 1.0
+        for s in re.split(r"(?<=[.!?;])\s+|\n+", (x.text or "").lower()):
+            words = re.findall(r"\w+", s)
+            total = m.bias + sum(m.weights.get(f, 0.0) for w in words for f in [w, *(w[:n] + "~" for n in (4, 5, 6) if len(w) >= n)])
+            clean *= 1 - 1 / (1 + np.exp(-np.clip(total, -40, 40))) if words else 1
+        assert got[x.doc_id] == pytest.approx(1 - clean, abs=1e-6)
+
+
 def test_toxicity_odd(spark, odd, none):
     m = toxicity.fit_bags(["a fine day", "a bad fool", "a good day", "a fool"] * 20, [0, 1, 0, 1] * 20)
     r = toxicity.score_toxicity(odd, m, keep=True)
@@ -567,6 +625,43 @@ def test_range_reads_few_pages(spark, many, tmp_path):
 # --- pipeline
 
 
+@pytest.mark.parametrize("some", ["odd", "none"])
+def test_pipeline_on_odd_and_empty_tables(spark, some, request, tmp_path):
+    """Columns of names that stages might use stay; nulls and empty texts pass; copies go once."""
+    import corpus_pipeline as P
+
+    names = {"k1": "_k1", "score": "_score", "n_lines": "_lines"}
+    table = request.getfixturevalue(some)
+    table.withColumnsRenamed(names).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i", "one")], "item_id string, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        after = stage(spark, now, str(tmp_path))
+        assert after.columns == now.columns
+        rows = after.collect()
+        assert all((r._k1, r._score, r._lines) == ("x", 1.0, "y") for r in rows)
+        now = after
+    if some == "odd":
+        ids = [r.doc_id for r in rows]
+        assert {0, 1, 2, 4, 6, 9, 10} <= set(ids) and 3 not in ids and ids.count(5) == 1 and ids.count(None) == 2
+    assert P.run(spark, str(tmp_path)).count() == len(rows)
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Tables that no result needs any more can be swept; a cluster without a shared folder is an error."""
+    import os
+
+    _, path = shared.saved(spark.range(3), "kept")
+    assert os.path.exists(path.removeprefix("file://"))
+    shared.sweep(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
+    far = type("Spark", (), {"sparkContext": type("Context", (), {"master": "yarn", "getConf": lambda self: {}})()})
+    with pytest.raises(ValueError):
+        shared.shared_dir(far)
+
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as P
 
