@@ -1,6 +1,11 @@
 """The corpus pipeline: toxicity, line dedup, MinHash near-dedup, benchmark decontamination, SentencePiece.
 
 Each stage takes what its predecessor kept, in the columns of `documents`; the last returns token digests.
+
+Defined results: further columns of `documents` stay as they are, whatever their names; `n_chars` is set anew where it is
+there and a text was cut. Null and empty texts pass all stages. Rows with a null id are judged by their text in every stage but
+near-dedup, which keeps them. Rows that repeat an id share the verdict of near-dedup, as one document; exactly repeated
+rows fare alike in every stage. Of near copies the smallest id stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 
 from barline.llm import decontaminate, lines, minhash, sentencepiece, toxicity
 from barline.llm.queries import tokenizer_file
-from barline.llm.shared import removed, saved
+from barline.llm.shared import free_names, removed, saved
 
 #: Documents at or above this score are rejected.
 TOXIC = 0.7
@@ -23,13 +28,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     model = toxicity.learn_toxicity(docs, labels, usable)
-    return toxicity.score_toxicity(docs, model, keep=True).where(F.col("score") < TOXIC).select(*docs.columns)
+    (score,) = free_names(docs, "_score")
+    return toxicity.score_toxicity(docs, model, keep=True, score_col=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of windows that occurred before; `n_chars` follows. A document of which no line is left goes."""
-    left = lines.line_dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    n, gone = free_names(docs, "_lines", "_gone")
+    left = lines.line_dedup(docs, counts=(n, gone)).where((F.col(gone) == 0) | (F.col(gone) < F.col(n)))
+    if "n_chars" in docs.columns:
+        now = F.length("text").cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(F.col(gone) == 0, F.col("n_chars")).otherwise(now))
+    return left.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
