@@ -6,19 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], ts: str = "ts", lag_seconds: int = 0) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], ts: str = "ts", lag_seconds: int = 0, bucket_seconds: int | None = None) -> DataFrame:
     """Each left row with the values of the last right row of its keys at or before it.
 
     Both sides are united and the newest right row is carried forward: one shuffle by key, no pair is
-    built. lag_seconds: how long after its time a right row becomes known.
+    built. lag_seconds: how long after its time a right row becomes known. bucket_seconds: one key's rows are dealt out by
+    spans of time, and a span starts with what the spans before it left (a small table, a row for each key and span), so that
+    neither a hot key nor a join without keys meets in one task.
     """
     known = F.col(ts).cast("double") + lag_seconds
     l_rows = left.withColumns({"_at": F.col(ts).cast("double"), "_side": F.lit(1), "_right": F.lit(None).cast(_struct(right, values))})
     r_rows = right.select(*keys, known.alias("_at"), F.lit(0).alias("_side"), F.struct(*values).alias("_right"))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
-    return found.select(*left.columns, *(F.col(f"_right.{v}").alias(v) for v in values))
+    spans = []
+    if bucket_seconds is not None:
+        spans = ["_span"]
+        both = both.withColumn("_span", F.floor(F.col("_at") / bucket_seconds))
+    w = Window.partitionBy(*keys, *spans).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_right", ignorenulls=True).over(w))
+    if bucket_seconds is not None:
+        last = F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct("_at", "_side"))).alias("_left")
+        ends = both.groupBy(*keys, "_span").agg(last)
+        before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*keys, "_span", F.last("_left", ignorenulls=True).over(before).alias("_carried"))
+        same = [found[k].eqNullSafe(carried[k]) for k in [*keys, "_span"]]
+        joined = found.join(carried, same)
+        found = joined.select(*(found[c] for c in found.columns if c != "_last"), F.coalesce(found["_last"], carried["_carried"]).alias("_last"))
+    return found.where("_side = 1").select(*left.columns, *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
 def _struct(df: DataFrame, values: list[str]) -> str:

@@ -46,31 +46,35 @@ def kurtosis_corrected(x: str) -> Column:
     return F.when(n > 3, (n - 1.0) / ((n - 2.0) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)).otherwise(0.0)
 
 
-def curve_metrics(equity: DataFrame, keys: list[str], bar_seconds: int) -> DataFrame:
-    """sharpe, sortino, max_drawdown, calmar (252 periods whatever the bar), total_return, moments of returns."""
+def curve_metrics(equity: DataFrame, keys: list[str], bar_seconds: int, *more: Column) -> DataFrame:
+    """more: further aggregates of the same rows. sharpe, sortino, max_drawdown, calmar (252 periods whatever the bar), total_return, moments of returns."""
     per_year = periods_per_year(bar_seconds)
     out = returns_of(equity, keys).groupBy(*keys).agg(
         sharpe("ret", per_year).alias("sharpe"), sortino("ret", per_year).alias("sortino"),
         F.coalesce(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"), F.avg("ret").alias("mean_ret"),
         F.stddev_samp("ret").alias("sd_ret"), F.count("ret").alias("n_ret"),
         skew_corrected("ret").alias("skew"), (kurtosis_corrected("ret") + 3).alias("kurt"),
-        (F.max_by("equity", "seq") / F.min_by("equity", "seq") - 1).alias("total_return"),
+        (F.max_by("equity", "seq") / F.min_by("equity", "seq") - 1).alias("total_return"), *more,
     )
     return out.withColumn(
         "calmar", F.when(F.col("max_drawdown") == 0, 0.0).otherwise(F.col("mean_ret") * 252 / F.abs("max_drawdown"))
     )
 
 
-def trade_summary(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """n_trades, win_rate, profit_factor (infinite without losses), mean_r, std_r, mean_hold_hours."""
+def trade_aggregates() -> list[Column]:
+    """n_trades, win_rate, profit_factor (infinite without losses), mean_r, std_r, mean_hold_hours; rows without a trade don't count."""
     wins = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")))
     losses = F.sum(F.when(F.col("pnl") < 0, F.col("pnl")))
-    return trades.groupBy(*keys).agg(
-        F.count("*").alias("n_trades"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"),
+    return [
+        F.count("exit_reason").alias("n_trades"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"),
         F.when(losses < 0, F.coalesce(wins, F.lit(0.0)) / F.abs(losses)).when(wins > 0, float("inf")).otherwise(0.0).alias("profit_factor"),
         F.avg("r_multiple").alias("mean_r"), F.coalesce(F.stddev_samp("r_multiple"), F.lit(0.0)).alias("std_r"),
         F.avg("hold_hours").alias("mean_hold_hours"),
-    )
+    ]
+
+
+def trade_summary(trades: DataFrame, keys: list[str]) -> DataFrame:
+    return trades.groupBy(*keys).agg(*trade_aggregates())
 
 
 @pandas_udf(DoubleType())

@@ -52,10 +52,11 @@ TRADE = (
 
 
 def fold(pdf: pd.DataFrame, costs: Costs, bar_seconds: int, gap_fill: bool, start_equity: float = 1.0) -> tuple[list[tuple], np.ndarray]:
-    """Trades, and equity at the start and after each bar (one point more than bars)."""
+    """Trades, each with its bar's number, and equity at the start and after each bar (one point more than bars)."""
     ts = pdf["ts"].tolist()
     o, h, low, c = (pdf[x].to_numpy(float) for x in ("open", "high", "low", "close"))
-    side, stop, target = pdf["direction"].tolist(), pdf["stop"].to_numpy(float), pdf["target"].to_numpy(float)
+    side, stop = pdf["direction"].tolist(), pdf["stop"].to_numpy(float)
+    target = [list(t) if isinstance(t, (list, np.ndarray)) else [t] if t == t and t is not None else [] for t in pdf["target"].tolist()]
     news = pdf["news"].to_numpy(bool) if "news" in pdf else np.zeros(len(pdf), bool)
     late = min(1.0, costs.latency_seconds / bar_seconds)
     trades: list[tuple] = []
@@ -69,7 +70,7 @@ def fold(pdf: pd.DataFrame, costs: Costs, bar_seconds: int, gap_fill: bool, star
         net = exit_price * (1 - sign * costs.side_bp(news[i]) / 1e4)
         pnl = sign * (net - entry) / entry - costs.funding_bp(hours, direction) / 1e4
         r = sign * (exit_price - entry) / risk if risk > 0 else 0.0
-        trades.append((entered, ts[i], direction, entry, exit_price, 1.0, pnl, r, hours, reason))
+        trades.append((i, entered, ts[i], direction, entry, exit_price, 1.0, pnl, r, hours, reason))
         return equity * (1 + pnl)
 
     for i in range(len(ts)):
@@ -83,14 +84,14 @@ def fold(pdf: pd.DataFrame, costs: Costs, bar_seconds: int, gap_fill: bool, star
         if held is not None:
             direction, _, entered, s, t, _ = held
             hit_stop = low[i] <= s if direction == "long" else h[i] >= s
-            hit_target = t == t and (h[i] >= t if direction == "long" else low[i] <= t)
+            hit_target = next((x for x in t if (h[i] >= x if direction == "long" else low[i] <= x)), None)
             if hit_stop:
                 price = s
                 if gap_fill and ts[i] != entered:
                     price = min(s, o[i]) if direction == "long" else max(s, o[i])
                 equity, held = close(price, i, "SL"), None
-            elif hit_target:
-                equity, held = close(t, i, "TP"), None
+            elif hit_target is not None:
+                equity, held = close(hit_target, i, "TP"), None
         if held is None and isinstance(side[i], str):
             waiting = (side[i], stop[i], target[i])
         points.append(equity)
@@ -99,42 +100,41 @@ def fold(pdf: pd.DataFrame, costs: Costs, bar_seconds: int, gap_fill: bool, star
     return trades, np.array(points)
 
 
-def simulate(signals: DataFrame, keys: list[str], costs: Costs | None = None, bar_seconds: int = 3600, gap_fill: bool = False) -> DataFrame:
-    """Trades of each key. signals: keys, ts, OHLC, direction, stop, target and perhaps news.
+def folded(signals: DataFrame, keys: list[str], costs: Costs | None = None, bar_seconds: int = 3600, gap_fill: bool = False) -> DataFrame:
+    """(keys, seq, ts, equity, and the trade that the bar closed, else null): a point at the start, numbered 0, and one for
+    each bar. At most one trade ends on a bar, so both results come from one pass.
 
-    gap_fill: whether a stop that a bar opens beyond is filled at the open instead of at its level.
+    signals: keys, ts, OHLC, direction, stop, target (a price or an array of prices, of which the first that a bar reaches
+    counts) and perhaps news. gap_fill: whether a stop that a bar opens beyond is filled at the open instead of at its level.
     """
     costs = costs or Costs()
     own = ", ".join(f"`{k}` {signals.schema[k].dataType.simpleString()}" for k in keys)
     kept = [*keys, "ts", "open", "high", "low", "close", "direction", "stop", "target", *(["news"] if "news" in signals.columns else [])]
+    names = [x.split()[0] for x in TRADE.split(", ")]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        trades, _ = fold(pdf.sort_values("ts", kind="stable"), costs, bar_seconds, gap_fill)
-        names = [x.split()[0] for x in TRADE.split(", ")]
-        out = pd.DataFrame(trades, columns=names)
+        pdf = pdf.sort_values("ts", kind="stable")
+        trades, points = fold(pdf, costs, bar_seconds, gap_fill)
+        ts = pdf["ts"].tolist()
+        out = pd.DataFrame({"seq": np.arange(len(points)), "ts": [ts[0], *ts], "equity": points})
+        closed = pd.DataFrame(trades, columns=["seq", *names])
+        out = out.merge(closed.assign(seq=closed["seq"].astype("int64") + 1), "left", "seq")
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
         return out
 
-    return signals.select(*kept).groupBy(*keys).applyInPandas(run, f"{own}, {TRADE}")
+    return signals.select(*kept).groupBy(*keys).applyInPandas(run, f"{own}, seq long, ts timestamp, equity double, {TRADE}")
 
 
-def equity_curve(signals: DataFrame, keys: list[str], costs: Costs | None = None, bar_seconds: int = 3600, gap_fill: bool = False) -> DataFrame:
-    """(keys, seq, ts, equity): a point at the start, numbered 0, and one for each bar."""
-    costs = costs or Costs()
-    own = ", ".join(f"`{k}` {signals.schema[k].dataType.simpleString()}" for k in keys)
-    kept = [*keys, "ts", "open", "high", "low", "close", "direction", "stop", "target", *(["news"] if "news" in signals.columns else [])]
+def simulate(signals: DataFrame, keys: list[str], costs: Costs | None = None, bar_seconds: int = 3600, gap_fill: bool = False) -> DataFrame:
+    """Trades of each key."""
+    closed = folded(signals, keys, costs, bar_seconds, gap_fill).where("exit_reason is not null")
+    return closed.select(*keys, *(x.split()[0] for x in TRADE.split(", ")))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        _, points = fold(pdf, costs, bar_seconds, gap_fill)
-        ts = pdf["ts"].tolist()
-        out = pd.DataFrame({"seq": np.arange(len(points)), "ts": [ts[0], *ts], "equity": points})
-        for i, k in enumerate(keys):
-            out.insert(i, k, key[i])
-        return out
 
-    return signals.select(*kept).groupBy(*keys).applyInPandas(run, f"{own}, seq long, ts timestamp, equity double")
+def equity_curve(signals: DataFrame, keys: list[str], costs: Costs | None = None, bar_seconds: int = 3600, gap_fill: bool = False) -> DataFrame:
+    """(keys, seq, ts, equity)."""
+    return folded(signals, keys, costs, bar_seconds, gap_fill).select(*keys, "seq", "ts", "equity")
 
 
 def cost_record(costs: Costs) -> dict:

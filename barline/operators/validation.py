@@ -98,11 +98,15 @@ def purged_training(bars: DataFrame, chosen: list[int], n_groups: int, horizon:
 def stitched(segments: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Segments' equity after one another: each is scaled to start where the one before it ended.
 
-    segments: keys, order, seq, equity. The running product is a sum of logarithms.
+    segments: keys, order, seq, equity. The running product is a sum of logarithms with the sign kept apart.
     """
     ends = segments.groupBy(*keys, order).agg((F.max_by("equity", "seq") / F.min_by("equity", "seq")).alias("_growth"))
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_before", F.exp(F.coalesce(F.sum(F.log("_growth")).over(w), F.lit(0.0)))).drop("_growth")
+    g = F.col("_growth")
+    size = F.exp(F.coalesce(F.sum(F.when(g != 0, F.log(F.abs(g)))).over(w), F.lit(0.0)))
+    turns = F.coalesce(F.sum(F.when(g < 0, 1).otherwise(0)).over(w), F.lit(0))  # a curve below zero turns the sign
+    lost = F.coalesce(F.max(F.when(g == 0, 1).otherwise(0)).over(w), F.lit(0))
+    ends = ends.withColumn("_before", F.when(lost == 1, 0.0).when(turns % 2 == 1, -size).otherwise(size)).drop("_growth")
     first = F.min_by("equity", "seq").over(Window.partitionBy(*keys, order))
     return segments.withColumn("_first", first).join(ends, [*keys, order]).withColumn(
         "equity", F.col("equity") / F.col("_first") * F.col("_before")
@@ -114,18 +118,16 @@ def cpcv(spark: SparkSession, signals: DataFrame, n_groups: int = 10, k_test: in
     keys = list(keys)
     rows = groups(signals, n_groups) if keys == ["symbol"] else _groups_by(signals, keys, n_groups)
     seg_keys = [*keys, "grp"]
-    curve = simulate.equity_curve(rows, seg_keys, costs, bar_seconds)
-    trades = simulate.simulate(rows, seg_keys, costs, bar_seconds).groupBy(*seg_keys).agg(F.count("*").alias("trades"))
+    curve = simulate.folded(rows, seg_keys, costs, bar_seconds).select(*seg_keys, "seq", "equity", "exit_reason")
     picks = F.broadcast(combos(spark, n_groups, k_test))  # C(n, k) * n rows, by the parameters
     paths = stitched(curve.join(picks, "grp"), [*keys, "combo", "test"], "grp")
     w = Window.partitionBy(*keys, "combo", "test").orderBy("grp", "seq")
     ordered = paths.withColumn("seq", F.row_number().over(w))
-    per = metrics.curve_metrics(ordered, [*keys, "combo", "test"], bar_seconds)
-    counts = trades.join(picks.where("test"), "grp").groupBy(*keys, "combo").agg(F.sum("trades").alias("oos_trades"))
-    out = per.groupBy(*keys, "combo").agg(
-        F.max(F.when(~F.col("test"), F.col("sharpe"))).alias("is_sharpe"), F.max(F.when(F.col("test"), F.col("sharpe"))).alias("oos_sharpe")
+    per = metrics.curve_metrics(ordered, [*keys, "combo", "test"], bar_seconds, F.count("exit_reason").alias("trades"))
+    side = lambda test, c: F.max(F.when(F.col("test") == test, F.col(c)))
+    return per.groupBy(*keys, "combo").agg(
+        side(False, "sharpe").alias("is_sharpe"), side(True, "sharpe").alias("oos_sharpe"), F.coalesce(side(True, "trades"), F.lit(0)).alias("oos_trades")
     )
-    return out.join(counts, [*keys, "combo"], "left").withColumn("oos_trades", F.coalesce("oos_trades", F.lit(0)))
 
 
 def _groups_by(signals: DataFrame, keys: list[str], n_groups: int) -> DataFrame:

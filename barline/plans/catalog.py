@@ -1,6 +1,6 @@
 """Every query of the engine by name, and DuckDB SQL for the same rows."""
 
-from . import market, records
+from . import folds, market, records
 
 QUERIES = {**market.QUERIES, **records.QUERIES}
-ORACLE = {**market.ORACLE, **records.ORACLE}
+ORACLE = {**market.ORACLE, **records.ORACLE, **folds.ORACLE}

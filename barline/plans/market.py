@@ -119,9 +119,9 @@ def q_macro_regime(spark, d):
 def q_asof(spark, d):
     """Each purchase with the last click at or before it."""
     t = ticks(spark, d)
-    left = t.where("symbol = 'purchase'").select(F.lit(1).alias("k"), "ts", "event_id")
-    right = t.where("symbol = 'click'").groupBy("ts").agg(F.max("event_id").alias("click_id"), F.max_by("price", "event_id").alias("click_price")).withColumn("k", F.lit(1))
-    return shown(J.asof_backward(left, right, ["k"], ["click_id", "click_price"]).drop("k"))
+    left = t.where("symbol = 'purchase'").select("ts", "event_id")
+    right = t.where("symbol = 'click'").groupBy("ts").agg(F.max("event_id").alias("click_id"), F.max_by("price", "event_id").alias("click_price"))
+    return shown(J.asof_backward(left, right, [], ["click_id", "click_price"], bucket_seconds=24 * HOUR))
 
 
 def q_news(spark, d):
@@ -204,8 +204,7 @@ def q_equity(spark, d):
 
 def q_trade_metrics(spark, d):
     s = _signals(spark, d, "momentum")
-    got = M.trade_summary(S.simulate(s, ["symbol"], bar_seconds=HOUR), ["symbol"])
-    return shown(got.join(M.curve_metrics(S.equity_curve(s, ["symbol"], bar_seconds=HOUR), ["symbol"], HOUR), "symbol"))
+    return shown(M.curve_metrics(S.folded(s, ["symbol"], bar_seconds=HOUR), ["symbol"], HOUR, *M.trade_aggregates()))
 
 
 def q_curve_metrics(spark, d):
@@ -277,13 +276,17 @@ def q_pbo(spark, d):
 
 
 def q_lookahead(spark, d):
-    """Features up to the middle that change when later bars are poisoned: there must be none."""
+    """Rows up to the middle that change when later bars are poisoned: none of the features, and of a build that reads
+    one bar ahead (to show that the audit sees it) one for each symbol with bars on both sides."""
     base = candles(spark, d)
-    cut = base.agg(F.expr("percentile_approx(unix_seconds(cast(ts as timestamp)), 0.5)").alias("m")).first().m
-    at = spark.range(1).select(F.timestamp_seconds(F.lit(cut)).alias("t")).first().t
-    clean = B.time_slice(build_ts(base), None, at)
-    bad = B.time_slice(build_ts(V.poisoned(base, at)), None, at)
-    return clean.exceptAll(bad).agg(F.count("*").alias("n_leaks"))
+    at = base.agg((F.timestamp_seconds(F.floor((F.min("ts").cast("double") + F.max("ts").cast("double")) / 2))).alias("t")).first().t
+
+    def leaks(build, name):
+        clean, bad = (B.time_slice(build(x), None, at) for x in (base, V.poisoned(base, at)))
+        return clean.exceptAll(bad).agg(F.lit(name).alias("build"), F.count("*").alias("n_leaks"))
+
+    ahead = lambda x: x.select("symbol", "ts", F.lead("open").over(B.over()).alias("open"))
+    return leaks(build_ts, "features").unionByName(leaks(ahead, "one bar ahead"))
 
 
 def build_ts(base):
@@ -485,7 +488,9 @@ ORACLE = {
   e as (select symbol, grp, first(close order by seq) as f, last(close order by seq) / first(close order by seq) as growth from s group by 1, 2),
   p as (select *, coalesce(product(growth) over (partition by symbol order by grp rows between unbounded preceding and 1 preceding), 1.0) as before from e)
   select s.symbol, s.grp::bigint as grp, s.seq, {r('close / f * before', 'equity')} from s join p on p.symbol = s.symbol and p.grp = s.grp""",
-    "audit_lookahead": "select 0::bigint as n_leaks",
+    "audit_lookahead": f"""with {bars_sql()}, m as (select to_timestamp(floor((epoch(min(ts)) + epoch(max(ts))) / 2))::timestamp as cut from bars),
+  a as (select *, lead(open) {KEY} as ahead, lead(ts) {KEY} as later from bars)
+  select 'features' as build, 0::bigint as n_leaks union all select 'one bar ahead', count(*) from a, m where ts <= cut and later > cut and ahead <> 0""",
     "costs_round_trip": f"""with x as (select l_returnflag, l_linestatus, 2 * (case when l_linestatus = 'O' then 20.5 else 4.0 end + case when l_quantity > 25 then 2.0 else 5.5 end)
     + case when l_returnflag = 'R' then -1 else 1 end * 1.5 * greatest(date_diff('microsecond', o_orderdate, l_shipdate) / 3600e6, 0.0) / 8 as cost from lineitem join orders on l_orderkey = o_orderkey)
   select l_returnflag, l_linestatus, {r('avg(cost)', 'cost_bp')}, count(*) as n from x group by 1, 2""",

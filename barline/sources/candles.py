@@ -46,15 +46,14 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataF
     sep = max(("\t", ",", ";"), key=head[0].count)
     raw = spark.read.csv(path, header=True, sep=sep)
     clean = [c.strip().strip("<>").lower() for c in raw.columns]
-    # the file's order decides between rows of one time
-    df = raw.toDF(*clean).withColumn("_file", F.col("_metadata.file_name")).withColumn("_row", F.monotonically_increasing_id())
-    if {"date", "time"} <= set(clean):
-        when = F.concat_ws(" ", "date", "time")
-    else:
-        found = next((c for c in ("datetime", "timestamp", "date", "time") if c in clean), None)
-        if found is None:
-            raise ValueError(f"no time column among {clean}")
-        when = F.col(found)
+    # between rows of one time the later file by name decides, and in it the later row (a file's rows have rising numbers)
+    df = raw.toDF(*clean).withColumn("_file", F.col("_metadata.file_name")).withColumn("_row", F.struct("_file", F.monotonically_increasing_id()))
+    # one candidate after another: a date with a time of its own column, else the first column that is there
+    candidates = [("date", "time"), ("datetime",), ("timestamp",), ("date",), ("time",)]
+    present = [c for c in candidates if set(c) <= set(clean)]
+    if not present:
+        raise ValueError(f"no time column among {clean}")
+    when = F.concat_ws(" ", *present[0])
     missing = {"open", "high", "low", "close"} - set(clean)
     if missing:
         raise ValueError(f"no columns {sorted(missing)}")
