@@ -1,6 +1,6 @@
 """Every query of the engine by name, and DuckDB SQL for the same rows."""
 
-from . import folds, market, records
+from . import desk, folds, market, records
 
-QUERIES = {**market.QUERIES, **records.QUERIES}
-ORACLE = {**market.ORACLE, **records.ORACLE, **folds.ORACLE}
+QUERIES = {**market.QUERIES, **records.QUERIES, **desk.QUERIES}
+ORACLE = {**market.ORACLE, **records.ORACLE, **folds.ORACLE, **desk.ORACLE}
