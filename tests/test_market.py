@@ -244,3 +244,42 @@ def test_drift_without_live_trades(spark):
 def test_similarity():
     assert L.alike({"a": 1, "b": {"c": "xy"}}, {"a": 1, "b": {"c": "xy"}}) == 1.0
     assert L.alike({"a": 1}, {"b": 1}) == 0.0
+
+
+def test_asof_by_spans_equals_asof(spark):
+    """Dealing out by spans of time changes no row, with keys and without, and with null keys."""
+    rng = np.random.default_rng(5)
+    at = lambda n: [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(m)) for m in rng.integers(0, 5000, n)]
+    left = spark.createDataFrame([("AB"[i % 2], t, i) for i, t in enumerate(at(200))], "k string, ts timestamp, id long")
+    right = spark.createDataFrame([("AB"[i % 2], t, float(i)) for i, t in enumerate(at(40))], "k string, ts timestamp, v double").dropDuplicates(["k", "ts"])
+    for keys in (["k"], []):
+        r = right if keys else right.groupBy("ts").agg(F.max("v").alias("v"))
+        whole, cut = (J.asof_backward(left, r, keys, ["v"], lag_seconds=90, bucket_seconds=b).select("id", "v") for b in (None, 3600))
+        assert whole.exceptAll(cut).count() == 0 and cut.count() == 200
+    assert J.asof_backward(left, right.limit(0), ["k"], ["v"], bucket_seconds=60).where("v is null").count() == 200
+
+
+def test_first_target_of_a_list(spark):
+    """Of several targets the first in the list that the bar reaches counts; the stop goes before them."""
+    hour = lambda i: dt.datetime(2024, 1, 1, i)
+    bars = [(100, 100, 100, 100, "long", 90.0, [110.0, 104.0]), (100, 105, 99, 105, None, None, None), (105, 120, 105, 118, None, None, None)]
+    rows = [("T", hour(i), *map(float, b[:4]), *b[4:]) for i, b in enumerate(bars)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, direction string, stop double, target array<double>")
+    r = S.simulate(df, ["symbol"]).collect()
+    assert [(x.exit_reason, x.exit_price) for x in r] == [("TP", 104.0)]
+    stopped = df.withColumn("low", F.when(F.hour("ts") == 1, 80.0).otherwise(F.col("low")))
+    assert [x.exit_reason for x in S.simulate(stopped, ["symbol"]).collect()] == ["SL"]
+
+
+def test_curves_below_zero_keep_their_sign(spark):
+    seg = spark.createDataFrame([("T", g, i, e) for g, es in enumerate([(1.0, -2.0), (1.0, 3.0), (1.0, -1.0)]) for i, e in enumerate(es)], "symbol string, grp int, seq int, equity double")
+    got = V.stitched(seg, ["symbol"], "grp").orderBy("grp", "seq").collect()
+    assert [round(r.equity, 9) for r in got] == [1.0, -2.0, -2.0, -6.0, -6.0, 6.0]
+
+
+def test_sessions_open_on_awake_cycles_alone(spark):
+    """A session that opens in a cooldown is noticed by the next awake cycle."""
+    at = lambda m: dt.datetime(2024, 1, 1, 7, m)
+    rows = [("T", at(0), True, None, "asia", None), ("T", at(2), False, None, "london", None), ("T", at(6), False, None, "london", None), ("T", at(20), False, "bear", "london", None), ("T", at(40), False, None, None, None)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, volume_spike boolean, last_bos string, session string, news_event string")
+    assert [r.reason for r in G.cycle_gate(df).orderBy("ts").collect()] == ["volume_spike", "cooldown", "session_open_london", "bos_bear", "no_trigger"]

@@ -108,6 +108,31 @@ def test_settings():
     assert Z.loosened({"constant": "MIN_RR_MULTIPLE", "after": 2.0}) == ["MIN_RR_MULTIPLE"] and Z.loosened({"constant": "MIN_RR_MULTIPLE", "after": 4.0}) == []
 
 
+@pytest.mark.parametrize("target, diff, path, want", [
+    ("validate_take_rule", {"text": " no longs "}, ("_RULES",), ["no longs"]),
+    ("lens_weight", {"weights": {"flow": 2}}, ("LENS_WEIGHTS",), {"flow": 2}),
+    ("setup_file", {"filename": "a.md", "body": "x"}, ("_SETUPS", "a.md"), "x"),
+    ("addendum_section", {"after": "more"}, ("_ADDENDA",), ["more"]),
+    ("confidence_calibration", {"table": {"a": 1}}, ("CONFIDENCE_CALIBRATION_TABLE",), {"a": 1}),
+    ("config_threshold", {"path": ["A", "b"], "after": 0}, ("A", "b"), 0),
+])
+def test_changes(target, diff, path, want):
+    base = {"A": {"c": 1}}
+    out = Z.shadow(base, {"change_id": "1", "target": target, "diff": diff})
+    for key in path:
+        out = out[key]
+    assert out == want and base == {"A": {"c": 1}}
+
+
+@pytest.mark.parametrize("target, diff", [
+    ("nothing", {}), ("config_threshold", {"after": 1}), ("config_threshold", {"path": ["a"]}), ("lens_weight", {"weights": {"mood": 1}}), ("lens_weight", {"weights": {"flow": True}}),
+    ("setup_file", {"body": "x"}), ("addendum_section", {"text": " "}), ("confidence_calibration", {"table": 3}),
+])
+def test_unfit_changes(target, diff):
+    with pytest.raises(ValueError):
+        Z.shadow({}, {"target": target, "diff": diff})
+
+
 def test_stream_equals_batch(spark, data, tmp_path):
     folder = tmp_path / "in"
     t = ticks(spark, data).where("event_id < 400")
