@@ -33,12 +33,12 @@ def report_faults() -> Column:
 
 
 def report_signal(reports: DataFrame, balance: Column, has_open: Column) -> DataFrame:
-    """A signal for each report that proposes a trade and breaks no rule: entry in the middle of its zone, its own first
+    """A signal for each report without faults that proposes a trade and breaks no rule: entry in the middle of its zone, its own first
     target, the plan's stop, further targets and size, and a capped confidence."""
     entry = (F.col("zone_low") + F.col("zone_high")) / 2
     side = F.when(F.col("direction").isin("long", "short"), F.col("direction")).otherwise("long")
     plan = simulate.risk_plan(entry, balance, F.lit("long"))
-    taken = reports.where((F.col("decision") == "TAKE") & signals.take_rejection(has_open).isNull())
+    taken = reports.where((F.size(report_faults()) == 0) & (F.col("decision") == "TAKE") & signals.take_rejection(has_open).isNull())
     named = {"entry_price": entry, **plan, "tp1": F.col("first_target"), "side": side, "signal_confidence": F.least("confidence", F.lit(MAX_CONFIDENCE))}
     return taken.withColumns(named)
 

@@ -27,13 +27,13 @@ def _reports(spark, d):
         F.when(k % 4 == 1, "n/a").when(k % 4 == 2, "short").when(k % 43 == 0, "up").otherwise("long").alias("direction"), F.when(k % 37 != 0, "markup").alias("regime"),
         F.when(k % 7 != 0, F.col("c_name")).alias("trapped_party"), F.when(k % 6 == 0, "short").otherwise("A close above the prior session high on rising volume voids it").alias("kill_thesis"),
         F.lit(3.5).alias("rr_minimum"), F.when(k % 17 == 0, 0.95).otherwise(0.8).alias("confidence"), F.lit(0.4).alias("flow"), F.lit(0.4).alias("structure"), F.lit(0.0).alias("context"), F.lit(0.0).alias("intent"),
-        F.col("c_acctbal").alias("zone_low"), F.when(k % 29 != 0, F.col("c_acctbal") * F.when(k % 31 == 0, 0.9).otherwise(1.02)).alias("zone_high"), (F.col("c_acctbal") * 1.1).alias("first_target"),
+        F.col("c_acctbal").alias("zone_low"), F.when(k % 29 != 0, F.col("c_acctbal") * F.when(k % 31 == 0, 0.9).otherwise(1.0212765957446808)).alias("zone_high"), (F.col("c_acctbal") * 1.1).alias("first_target"),
     )
 
 
 _REPORTS = """rp as (select c_custkey, case when c_custkey % 9 = 0 then 'SKIP' else 'TAKE' end as decision, case when c_custkey % 13 = 0 then 'STALE' when c_custkey % 41 = 0 then 'OLD' else 'FRESH' end as dq,
   case when c_custkey % 4 = 1 then 'n/a' when c_custkey % 4 = 2 then 'short' when c_custkey % 43 = 0 then 'up' else 'long' end as direction, c_custkey % 37 <> 0 as regime, c_custkey % 7 <> 0 as trapped, c_custkey % 6 <> 0 as kill,
-  case when c_custkey % 17 = 0 then 0.95 else 0.8 end::double as conf, c_acctbal as low, case when c_custkey % 29 <> 0 then c_acctbal * case when c_custkey % 31 = 0 then 0.9 else 1.02 end end as high, c_acctbal * 1.1 as tp from customer)"""
+  case when c_custkey % 17 = 0 then 0.95 else 0.8 end::double as conf, c_acctbal as low, case when c_custkey % 29 <> 0 then c_acctbal * case when c_custkey % 31 = 0 then 0.9::double else 1.0212765957446808::double end end as high, c_acctbal * 1.1 as tp from customer)"""
 
 
 def q_faults(spark, d):
@@ -166,8 +166,8 @@ _ENTRY = "(low + high) / 2"
 ORACLE = {
     "desk_report_faults": f"""with {_REPORTS} select c_custkey, concat_ws(',', case when dq = 'OLD' then 'data_quality' end, case when direction = 'up' then 'direction' end, case when not regime then 'regime' end, case when high is null then 'zone_incomplete' end,
   case when low <= 0 or high <= 0 then 'zone_not_positive' end, case when low > high then 'zone_order' end) as faults from rp""",
-    "desk_report_signal": f"""with {_REPORTS} select c_custkey, {r(_ENTRY, 'entry_price')}, {r(f'{_ENTRY} * 0.995', 'stop_loss')}, {r('tp', 'tp1')}, {r(f'{_ENTRY} * 1.007', 'tp2')}, {r(f'{_ENTRY} * 1.012', 'tp3')}, {r(f'100 / ({_ENTRY} * 0.005)', 'position_size')},
-  case when direction = 'short' then 'short' else 'long' end as side, {r('least(conf, 0.9)', 'signal_confidence')} from rp where decision = 'TAKE' and dq = 'FRESH' and trapped and kill and conf <= 0.9""",
+    "desk_report_signal": f"""with {_REPORTS} select c_custkey, {r(_ENTRY, 'entry_price')}, {r(f'{_ENTRY} - {_ENTRY} * 50 / 10000', 'stop_loss')}, {r('tp', 'tp1')}, {r(f'{_ENTRY} + {_ENTRY} * 70 / 10000', 'tp2')}, {r(f'{_ENTRY} + {_ENTRY} * 120 / 10000', 'tp3')}, {r(f'100 / ({_ENTRY} * 50 / 10000)', 'position_size')},
+  case when direction = 'short' then 'short' else 'long' end as side, {r('least(conf, 0.9)', 'signal_confidence')} from rp where decision = 'TAKE' and dq = 'FRESH' and direction <> 'up' and regime and low > 0 and high > 0 and low <= high and trapped and kill and conf <= 0.9""",
     "desk_review": f"with {_REVIEW} select id, decision, {r('risk_pct')}, {r('size')}, coaching from q5",
     "desk_commit": f"with {_REVIEW} select id::varchar as trade_id, setup, {r('risk_pct')}, {r('size')}, '{DAY}' as opened_at, 'OPEN' as status from q5 where decision <> 'BLOCK'",
     "desk_analysis": f"""with {_REVIEW} select id, greatest(1, least(5, round_even(id % 11 / 10.0 * 5, 0)))::bigint as conviction, case when setup = 'none' then 'NO_SETUP' when decision = 'BLOCK' then 'BLOCKED' else 'SENT' end as outcome from q5""",
