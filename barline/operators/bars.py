@@ -97,19 +97,43 @@ def timeframe_minutes(bars: DataFrame) -> DataFrame:
     )
 
 
-def by_time_chunks(bars: DataFrame, build, days: int, lookback: int) -> DataFrame:
+def by_time_chunks(bars: DataFrame, build, days: int, lookback: int, sums: dict[str, Column] | None = None) -> DataFrame:
     """Apply `build(bars, keys)`, whose frames reach back at most `lookback` rows, to chunks of time.
 
     One symbol with a long history is then many window partitions instead of one task. Each chunk also
     gets the days before it that hold its `lookback` preceding rows (counted by day, so gaps don't matter), and
-    they are dropped afterwards. The plan of days and chunks is small: a row for each symbol and day.
+    they are dropped afterwards. `sums` are for running sums over the whole history: each row gets, under the
+    given name, the sum of its expression over all days before the rows that its chunk sees (`running` adds the rest).
+    The plan of days and chunks is small, a row for each symbol and day, and so are the sums' first steps.
+    Bars without a symbol or a time belong to no history and are left out.
     """
+    sums = sums or {}
     day = F.floor(F.col("ts").cast("double") / 86400)
-    counts = bars.groupBy("symbol", day.alias("_day")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("symbol").orderBy("_day"))
-    own = counts.withColumns({"upto": upto, "_own": F.floor(F.col("_day") / days)})
+    totals = [F.sum(e).alias(f"_sum_{name}") for name, e in sums.items()]
+    counts = bars.groupBy("symbol", day.alias("_day")).agg(F.count("*").alias("n"), *totals)
+    through = Window.partitionBy("symbol").orderBy("_day")
+    earlier = through.rowsBetween(Window.unboundedPreceding, -1)
+    own = counts.withColumns({
+        "upto": F.sum("n").over(through), "_own": F.floor(F.col("_day") / days),
+        **{f"_before_{name}": F.sum(f"_sum_{name}").over(earlier) for name in sums},
+    })
+    # a chunk sees a day before it if fewer than `lookback` rows lie between them: both meet in buckets of so many rows
+    width = max(1, lookback)
     starts = own.groupBy("symbol", F.col("_own").alias("_chunk")).agg(F.min(F.col("upto") - F.col("n")).alias("before"))
-    extra = own.join(starts, "symbol").where((F.col("_chunk") > F.col("_own")) & (F.col("before") - F.col("upto") < lookback))
-    plan = own.withColumn("_chunk", F.col("_own")).select("symbol", "_day", "_own", "_chunk").union(extra.select("symbol", "_day", "_own", "_chunk"))
+    starts = starts.withColumn("_bucket", F.floor(F.col("before") / width))
+    bucket = F.floor(F.col("upto") / width)
+    near = own.withColumn("_bucket", F.explode(F.array(bucket, bucket + 1))).join(starts, ["symbol", "_bucket"])
+    extra = near.where((F.col("_chunk") > F.col("_own")) & (F.col("before") - F.col("upto") < lookback))
+    carried = [f"_before_{name}" for name in sums]
+    plan = own.withColumn("_chunk", F.col("_own")).select("symbol", "_day", "_own", "_chunk", *carried)
+    plan = plan.union(extra.select("symbol", "_day", "_own", "_chunk", *carried))
+    first = Window.partitionBy("symbol", "_chunk").orderBy("_day")
+    plan = plan.select("symbol", "_day", "_own", "_chunk", *(F.first(f"_before_{name}").over(first).alias(name) for name in sums))
     copies = bars.withColumn("_day", day).join(plan, ["symbol", "_day"]).drop("_day")
     return build(copies, ("symbol", "_chunk")).where("_own = _chunk").drop("_own", "_chunk")
+
+
+def running(name: str, value: Column, keys=("symbol",)) -> Column:
+    """A sum over the whole history, in a chunk that holds under `name` what came before its rows."""
+    here = F.sum(value).over(history(keys))
+    return F.coalesce(F.col(name) + here, here, F.col(name))

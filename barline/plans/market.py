@@ -27,10 +27,7 @@ def q_bars(spark, d):
 
 
 def q_bars_indicators(spark, d):
-    df = X.with_tr(candles(spark, d))
-    sign = F.signum(F.col("close") - F.col("open")) * F.col("volume")
-    df = df.withColumns({"sma50": X.sma("close", 50), "atr14": X.atr(14), "cvd": F.sum(sign).over(B.history()), "session": X.session(F.hour("ts"))})
-    return shown(df.drop("tr", "n_tr"))
+    return shown(X.together(candles(spark, d), [X.INDICATORS]))
 
 
 def q_resample(spark, d):
@@ -92,12 +89,12 @@ CONFLUENCE = ["symbol", "ts", "ma50", "ma200", "ma50_slope_bp", "dist_ma50_bp",
 
 
 def q_confluence(spark, d):
-    return shown(X.confluence(candles(spark, d)).select(*CONFLUENCE))
+    return shown(X.together(candles(spark, d), [X.CONFLUENCE]).select(*CONFLUENCE))
 
 
 def q_confluence_chunked(spark, d):
     """The same by chunks of time: many window partitions for one symbol."""
-    whole = B.by_time_chunks(candles(spark, d), X.confluence, days=10, lookback=200)
+    whole = B.by_time_chunks(candles(spark, d), X.confluence, days=10, lookback=220)
     return shown(whole.select("symbol", "ts", "ma50", "ma50_slope_bp", "ret20_bp", "atr_pct"))
 
 
@@ -160,7 +157,7 @@ def q_signal(name):
 
 
 def q_gate(spark, d):
-    df = X.structure(X.flow(candles(spark, d)))
+    df = X.together(candles(spark, d), [X.FLOW, X.STRUCTURE])
     packs = df.select("symbol", "ts", F.col("flow_spike").alias("volume_spike"), "last_bos", X.session(F.hour("ts")).alias("session"),
                       F.when(F.hour("ts") == 12, "NOON").alias("news_event"))
     got = G.cycle_gate(packs, cooldown_seconds=2 * HOUR)
@@ -190,7 +187,7 @@ def q_timeframes(spark, d):
 
 
 def q_setup_tags(spark, d):
-    df = X.structure(X.flow(candles(spark, d))).withColumns({"session": X.session(F.hour("ts")), "volume_spike": F.col("flow_spike")})
+    df = X.together(candles(spark, d), [X.FLOW, X.STRUCTURE]).withColumns({"session": X.session(F.hour("ts")), "volume_spike": F.col("flow_spike")})
     return shown(df.select("symbol", "ts", F.array_join(G.setup_tags(), ",").alias("tags")))
 
 
@@ -290,7 +287,7 @@ def q_lookahead(spark, d):
 
 
 def build_ts(base):
-    return X.structure(X.flow(X.confluence(base))).select("symbol", "ts", "ma50", "ret20_bp", "cvd_full", "last_bos")
+    return shown(X.together(base, [X.CONFLUENCE, X.FLOW, X.STRUCTURE])).select("symbol", "ts", "ma50", "ret20_bp", "cvd_full", "last_bos")
 
 
 def q_positions(spark, d):

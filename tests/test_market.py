@@ -102,6 +102,24 @@ def test_chunked_windows_equal_whole(spark):
     assert a.count() == b.count() and near.count() == 0
 
 
+def test_features_by_chunks_equal_one_chunk(spark):
+    """Chunks of two days against one chunk that holds the whole history, for every feature."""
+    walk = C.random_walk(spark, 500, seed=9)
+    kinds = [X.INDICATORS, X.accumulation_of(), X.FLOW, X.STRUCTURE, X.CONFLUENCE]
+    for kind in kinds:
+        one, many = ({r.ts: r for r in X.together(walk, [kind], days).collect()} for days in (10**6, 2))
+        assert one.keys() == many.keys() and len(one) == 500
+        for ts, want in one.items():
+            for c, v in want.asDict().items():
+                assert many[ts][c] == (pytest.approx(v, abs=1e-5) if isinstance(v, float) else v), (ts, c)
+
+
+def test_gaps_keep_their_place_in_history(spark):
+    df = frame(spark, [100.0 + 10 * i for i in range(60)])
+    got = last(X.fair_value_gaps(df))
+    assert [g.index for g in got.bullish_fvgs] == [55, 56, 57, 58, 59]
+
+
 def orders(spark, closes, at, direction, stop, target, spread=0.0):
     df = frame(spark, closes, spread=spread)
     t = df.orderBy("ts").collect()[at].ts
