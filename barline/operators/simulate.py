@@ -150,8 +150,21 @@ def manage_positions(positions: DataFrame, prices: DataFrame, scale_pct=(25.0, 2
     positions: (position_id, symbol, entry_ts, direction, entry, size, sl, tp1, tp2, tp3). prices: (symbol, ts, price).
     A stop after partial exits closes the whole entry size, and the third target closes the position, unless
     track_remaining: then only what is left is closed, and only when nothing is left.
+
+    A position meets the lowest and highest price of each day (a small table) first, and then only the ticks of its
+    first day and of the days that first reach one of its four levels: nothing happens to it on the others.
     """
-    ticks = prices.join(positions, "symbol").where(F.col("ts") >= F.col("entry_ts"))
+    day = F.to_date("ts").alias("day")
+    reach = prices.groupBy("symbol", day).agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    later = positions.join(reach, "symbol").where(F.col("day") > F.to_date("entry_ts"))
+    long = F.col("direction") == "long"
+    below, above = (lambda c: F.col("low") <= F.col(c)), (lambda c: F.col("high") >= F.col(c))
+    tests = {"sl": (below, above), **{t.lower(): (above, below) for t in SCALE_OUT}}
+    first = [F.min(F.when(F.when(long, a(c)).otherwise(b(c)), F.col("day"))).alias(f"day_{c}") for c, (a, b) in tests.items()]
+    days = positions.join(later.groupBy("position_id").agg(*first), "position_id", "left").withColumn(
+        "day", F.explode(F.array_distinct(F.array_compact(F.array(F.to_date("entry_ts"), *(f"day_{c}" for c in tests)))))
+    ).select(*positions.columns, "day")
+    ticks = prices.withColumn("day", day).join(days, ["symbol", "day"]).where(F.col("ts") >= F.col("entry_ts"))
     schema = "position_id string, ts timestamp, event string, price double, size double, pnl double, status string"
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:

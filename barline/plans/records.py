@@ -274,18 +274,18 @@ def _folder(spark: SparkSession) -> str:
 
 
 def q_stream_bars(spark, d):
-    """Streamed bars that the watermark has closed, in a catch-up run: complete mode, so that all are in it."""
-    return shown(live.drained(live.stream_bars(live.tick_stream(spark, d)), _folder(spark), "complete").withColumnRenamed("bar", "ts"))
+    """Streamed bars, each emitted once, when the watermark has closed it: those of the last minutes are still open."""
+    return shown(live.drained(live.stream_bars(live.tick_stream(spark, d)), _folder(spark)).withColumnRenamed("bar", "ts"))
 
 
 def q_stream_cvd(spark, d):
     t = live.tick_stream(spark, d).withColumn("side", F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell"))
-    got = live.drained(live.stream_cvd(t, "6 hours", "3 hours"), _folder(spark), "complete")
+    got = live.drained(live.stream_cvd(t, "6 hours", "3 hours"), _folder(spark))
     return shown(got.select("symbol", F.col("window.start").alias("ts"), "cvd", "n"))
 
 
 def q_stream_activity(spark, d):
-    got = live.drained(live.stream_activity(live.tick_stream(spark, d)), _folder(spark), "complete")
+    got = live.drained(live.stream_activity(live.tick_stream(spark, d)), _folder(spark))
     return shown(got.select("symbol", F.col("session_window.start").alias("ts"), "n", "volume"))
 
 
@@ -370,10 +370,11 @@ ORACLE = {
     "source_macro": f"select 'X' as series, strftime(o_orderdate::date, '%Y-%m-%d 00:00:00') as ts, count(*) as n, {r('sum(o_totalprice)', 'total')} from orders where o_orderkey % 3 <> 0 group by 1, 2",
     "text_transcripts": r"""with c as (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&(nbsp|#160);', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) as t from pages)
   select page_id, sha256(t) as text_sha256, length(t) as n_chars from c""",
-    "stream_bars": f"with {bars_sql()} select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {r('open')}, {r('high')}, {r('low')}, {r('close')}, {r('volume')} from bars",
+    "stream_bars": f"with {bars_sql()} select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {r('open')}, {r('high')}, {r('low')}, {r('close')}, {r('volume')} from bars where ts + interval '1 hour' <= (select max(t) - interval '10 minutes' from ticks)",
     "stream_cvd": f"""with {bars_sql()}, w as (select symbol, event_id, size, unnest([time_bucket(interval '3 hours', t, timestamp '1970-01-01'), time_bucket(interval '3 hours', t, timestamp '1970-01-01') - interval '3 hours']) as s from ticks)
-  select symbol, strftime(s, '%Y-%m-%d %H:%M:%S') as ts, {r('sum(case when event_id % 2 = 0 then size else -size end)', 'cvd')}, count(*) as n from w group by symbol, s""",
+  select symbol, strftime(s, '%Y-%m-%d %H:%M:%S') as ts, {r('sum(case when event_id % 2 = 0 then size else -size end)', 'cvd')}, count(*) as n from w where s + interval '6 hours' <= (select max(t) - interval '10 seconds' from ticks) group by symbol, s""",
     "stream_activity": f"""with {bars_sql()}, g as (select symbol, t, size, (lag(t) over (partition by symbol order by t) is null or t >= lag(t) over (partition by symbol order by t) + interval '30 minutes')::int as new from ticks),
   s as (select *, sum(new) over (partition by symbol order by t, size rows unbounded preceding) as k from g)
-  select symbol, strftime(min(t), '%Y-%m-%d %H:%M:%S') as ts, count(*) as n, {r('sum(size)', 'volume')} from s group by symbol, k""",
+  select symbol, strftime(min(t), '%Y-%m-%d %H:%M:%S') as ts, count(*) as n, {r('sum(size)', 'volume')} from s group by symbol, k
+  having max(t) + interval '30 minutes' <= (select max(t) - interval '10 minutes' from ticks)""",
 }

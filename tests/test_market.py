@@ -105,9 +105,8 @@ def test_chunked_windows_equal_whole(spark):
 def test_features_by_chunks_equal_one_chunk(spark):
     """Chunks of two days against one chunk that holds the whole history, for every feature."""
     walk = C.random_walk(spark, 500, seed=9)
-    kinds = [X.INDICATORS, X.accumulation_of(), X.FLOW, X.STRUCTURE, X.CONFLUENCE]
-    for kind in kinds:
-        one, many = ({r.ts: r for r in X.together(walk, [kind], days).collect()} for days in (10**6, 2))
+    for kinds in ([X.INDICATORS, X.FLOW, X.STRUCTURE], [X.accumulation_of(), X.CONFLUENCE]):
+        one, many = ({r.ts: r for r in X.together(walk, kinds, days).collect()} for days in (10**6, 2))
         assert one.keys() == many.keys() and len(one) == 500
         for ts, want in one.items():
             for c, v in want.asDict().items():
@@ -117,7 +116,18 @@ def test_features_by_chunks_equal_one_chunk(spark):
 def test_gaps_keep_their_place_in_history(spark):
     df = frame(spark, [100.0 + 10 * i for i in range(60)])
     got = last(X.fair_value_gaps(df))
-    assert [g.index for g in got.bullish_fvgs] == [55, 56, 57, 58, 59]
+    assert [g["index"] for g in got.bullish_fvgs] == [55, 56, 57, 58, 59]
+
+
+def test_positions_see_only_days_that_reach_a_level(spark):
+    """Two days without a hit lie between the entry and the first target, and three more before the stop."""
+    start = dt.datetime(2024, 1, 1)
+    path = [(0, 100.0), (1, 101.0), (2, 99.5), (3, 106.0), (4, 104.0), (5, 103.0), (6, 102.0), (7, 94.0), (8, 120.0)]
+    prices = spark.createDataFrame([("T", start + dt.timedelta(days=n, hours=5), p) for n, p in path], "symbol string, ts timestamp, price double")
+    rows = [("a", "T", start, "long", 100.0, 4.0, 95.0, 105.0, 110.0, 130.0), ("b", "T", start + dt.timedelta(days=3), "short", 106.0, 4.0, 119.0, 100.0, 95.0, 90.0)]
+    positions = spark.createDataFrame(rows, "position_id string, symbol string, entry_ts timestamp, direction string, entry double, size double, sl double, tp1 double, tp2 double, tp3 double")
+    got = sorted((r.position_id, (r.ts - start).days, r.event, r.size, r.status) for r in S.manage_positions(positions, prices).collect())
+    assert got == [("a", 3, "TP1", 1.0, "PARTIALLY_CLOSED"), ("a", 7, "SL", 4.0, "CLOSED"), ("b", 7, "TP1", 1.0, "PARTIALLY_CLOSED"), ("b", 7, "TP2", 1.0, "PARTIALLY_CLOSED"), ("b", 8, "SL", 4.0, "CLOSED")]
 
 
 def orders(spark, closes, at, direction, stop, target, spread=0.0):
