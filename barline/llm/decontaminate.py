@@ -5,9 +5,10 @@ with fewer words is one window. Of every window's k-grams of word hashes the sma
 fingerprint, in documents as in items, so equal windows have equal fingerprints: every shared window is
 guaranteed to be found. Fingerprints are joined, and each hit is extended to its whole window and compared word by word.
 
-Scale: a document contributes its distinct fingerprints (two sevenths of its words for k = 5), never pairs.
-The benchmark's side is broadcast only where its counted size allows; beyond it the join is a shuffle
-with adaptive skew splitting. Only documents with a joined fingerprint are read for windows.
+Scale: a document contributes its distinct fingerprints (two sevenths of its words for k = 5), never pairs. Its
+words are hashed once for windows of every length that the items have. Tables are broadcast only where their
+summed bytes allow; beyond it the join is a shuffle with adaptive skew splitting. Only documents with a
+joined fingerprint are read for windows.
 
 Defined results: null and wordless texts have no words and no hit; an item without words has no
 window. Documents are keyed by (id, text), so rows with equal ids are judged separately and exactly repeated rows
@@ -25,8 +26,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of the benchmark's side up to which it is broadcast (some 10 MB).
-BROADCAST_ROWS = 200_000
+#: Bytes of values up to which a table is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -40,60 +41,73 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.size(F.array_remove(F.split(text, NOT_WORD_ANY_CASE, -1), ""))).cast("long")
 
 
-def fingerprints(df: DataFrame, span: int, k: int = 5) -> DataFrame:
-    """Adds `mins` to a frame with `w`: the fingerprint of the window that starts at each word; null
-    where there are too few words. (A filter on the words would cut every text twice.)"""
-    k = min(k, span)
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size("h") - k), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(k)))
-    )
-    wide = span - k + 1
-    least = F.col("g") if wide == 1 else F.transform(
-        F.sequence(F.lit(0), F.size("g") - wide), lambda i: F.least(*(F.get("g", i + j) for j in range(wide)))
-    )
+def fingerprints(df: DataFrame, spans: list[int], k: int = 5) -> DataFrame:
+    """Adds, for each n of spans, `mins_n` to a frame with `w`: the fingerprint of the window of n words that starts at
+    each word; null where there are too few words. (A filter on the words would cut every text twice.)"""
+
+    def grams(n):
+        size = min(k, n)
+        places = F.sequence(F.lit(0), F.size("h") - size)
+        return F.when(F.size("h") >= n, F.transform(places, lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(size)))))
+
+    def least(n):
+        wide = n - min(k, n) + 1
+        g = f"g_{n}"
+        if wide == 1:
+            return F.col(g)
+        places = F.sequence(F.lit(0), F.size(g) - wide)
+        return F.when(F.col(g).isNotNull(), F.transform(places, lambda i: F.least(*(F.get(g, i + j) for j in range(wide)))))
+
     return (
         df.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-        .withColumn("g", F.when(F.size("h") >= span, grams))
-        .withColumn("mins", F.when(F.col("g").isNotNull(), least))
-        .drop("h", "g")
+        .withColumns({f"g_{n}": grams(n) for n in spans})
+        .withColumns({f"mins_{n}": least(n) for n in spans})
+        .drop("h", *(f"g_{n}" for n in spans))
     )
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint where its counted rows allow it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def maybe_broadcast(table: DataFrame, width: Column) -> DataFrame:
+    """A saved table with a broadcast hint where the widths of its rows add up to little enough."""
+    total = table.agg(F.coalesce(F.sum(width + 16), F.lit(0))).first()[0]
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
 
 
-def hits(docs: DataFrame, items: DataFrame, span: int, full: int) -> tuple[DataFrame, list[str]]:
-    """(_k1, _k2, item_id, pos, span): every occurrence of a window of `span` words.
+def hits(docs: DataFrame, items: DataFrame, spans: list[int]) -> tuple[DataFrame, list[str]]:
+    """(_k1, _k2, item_id, pos, span): every occurrence of an item's window.
 
-    docs: (_k1, _k2, text). items: (item_id, w). span < full: only items of just so many words.
+    docs: (_k1, _k2, text). items: (item_id, w, span), span being the length of an item's windows.
     """
-    spark = docs.sparkSession
-    own = items.where(F.size("w") >= span if span == full else F.size("w") == span)
+    mins = [F.coalesce(F.col(f"mins_{n}"), F.array().cast("array<bigint>")) for n in spans]
+    mine = F.coalesce(*(F.when(F.col("span") == n, F.col(f"mins_{n}")) for n in spans))
     # a table of its own: below an explode the optimizer would infer a filter on `mins` and work it out again for each word
-    marked, p3 = saved(fingerprints(own, span), "items")
-    prints = marked.select(F.explode("mins").alias("fp")).distinct()
-    prints, p1 = saved(prints, "prints")
+    marked, p1 = saved(fingerprints(items, spans).select("item_id", "w", "span", mine.alias("mins")), "items")
+    prints, p2 = saved(marked.select(F.explode("mins").alias("fp")).distinct(), "prints")
+    windows, p3 = saved(marked.select("item_id", "span", F.explode(F.transform(
+        F.sequence(F.lit(0), F.size("w") - F.col("span")), lambda i: F.array_join(F.slice("w", i + 1, F.col("span")), " ")
+    )).alias("said")).distinct(), "windows")
     worded = docs.withColumn("w", words(F.col("text"))).drop("text")
+    # a fingerprint of another length only proposes a place more: windows are compared word by word in the end
     found = (
-        fingerprints(worded, span)
-        .select("_k1", "_k2", F.explode(F.array_distinct("mins")).alias("fp"))
-        .join(maybe_broadcast(prints), "fp")
+        fingerprints(worded, spans)
+        .select("_k1", "_k2", F.explode(F.array_distinct(F.concat(*mins))).alias("fp"))
+        .join(maybe_broadcast(prints, F.lit(8)), "fp")
         .groupBy("_k1", "_k2").agg(F.collect_set("fp").alias("fps"))
     )
-    found, p2 = saved(found, "candidates")
-    again = docs.join(maybe_broadcast(found), ["_k1", "_k2"]).withColumn("w", words(F.col("text"))).drop("text")
-    places = (
-        fingerprints(again, span)
-        .withColumn("pos", F.explode(F.filter(F.sequence(F.lit(0), F.size("mins") - 1), lambda i: F.array_contains("fps", F.get("mins", i)))))
-        .select("_k1", "_k2", "pos", F.array_join(F.slice("w", F.col("pos") + 1, span), " ").alias("said"))
+    found, p4 = saved(found, "candidates")
+    again = docs.join(maybe_broadcast(found, 16 + 8 * F.size("fps")), ["_k1", "_k2"]).withColumn("w", words(F.col("text"))).drop("text")
+
+    def places(n):
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(f"mins_{n}") - 1), lambda i: F.array_contains("fps", F.get(f"mins_{n}", i))
+        )
+        some = F.transform(starts, lambda i: F.struct(F.lit(n).alias("span"), i.alias("pos")))
+        return F.when(F.size(f"mins_{n}") > 0, some).otherwise(F.array().cast("array<struct<span:int,pos:int>>"))
+
+    said = fingerprints(again, spans).withColumn("at", F.explode(F.concat(*(places(n) for n in spans)))).select(
+        "_k1", "_k2", "at.pos", F.array_join(F.slice("w", F.col("at.pos") + 1, F.col("at.span")), " ").alias("said")
     )
-    windows = marked.select("item_id", F.explode(F.transform(
-        F.sequence(F.lit(0), F.size("w") - span), lambda i: F.array_join(F.slice("w", i + 1, span), " ")
-    )).alias("said")).distinct()
-    got = places.join(maybe_broadcast(windows), "said").select("_k1", "_k2", "item_id", "pos", F.lit(span).alias("span"))
-    return got, [p1, p2, p3]
+    width = F.octet_length("said") + F.octet_length("item_id")
+    return said.join(maybe_broadcast(windows, width), "said").select("_k1", "_k2", "item_id", "pos", "span"), [p1, p2, p3, p4]
 
 
 def contamination(
@@ -106,14 +120,11 @@ def contamination(
     bench = items.select(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item_id"), words(F.col(item_text_col)).alias("w")
     ).where(F.size("w") > 0)
-    spans = [r[0] for r in bench.select(F.least(F.size("w"), F.lit(span)).alias("n")).distinct().collect()]  # at most `span` rows
-    every, paths = None, []
-    for n in sorted(spans):
-        one, used = hits(rows, bench, n, span)
-        every = one if every is None else every.unionByName(one)
-        paths += used
-    if every is None:
+    bench = bench.withColumn("span", F.least(F.size("w"), F.lit(span)))
+    spans = sorted(r[0] for r in bench.select("span").distinct().collect())  # at most `span` rows
+    if not spans:
         return rows.limit(0).select("_k1", "_k2", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items_sha256"))
+    every, paths = hits(rows, bench, spans)
     per_doc = every.groupBy("_k1", "_k2").agg(
         F.collect_set(F.struct("pos", "span")).alias("places"), F.sort_array(F.collect_set("item_id")).alias("ids")
     )
@@ -131,7 +142,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", id_
     k1, k2 = row_key(id_col, text_col)
     names = free_names(docs, "_k1", "_k2")
     bad = contamination(docs, items, text_col, id_col).select("_k1", "_k2").toDF(*names)
-    return docs.withColumns(dict(zip(names, (k1, k2)))).join(maybe_broadcast(bad), names, "left_anti").drop(*names)
+    return docs.withColumns(dict(zip(names, (k1, k2)))).join(maybe_broadcast(bad, F.lit(16)), names, "left_anti").drop(*names)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -140,7 +151,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), word_count(F.col("text")).alias("n_words"))
     found = contamination(docs, items)
     none = F.sha2(F.lit("").cast("binary"), 256)
-    return rows.join(maybe_broadcast(found), ["_k1", "_k2"], "left").select(
+    return rows.join(maybe_broadcast(found, F.lit(96)), ["_k1", "_k2"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
