@@ -141,6 +141,21 @@ def flow(bars: DataFrame) -> DataFrame:
     return together(bars, [FLOW])
 
 
+def live_flow(snapshots: DataFrame) -> DataFrame:
+    """Flow of symbols without candles, from the newest live snapshot alone.
+
+    snapshots: symbol, ts, cvd_full, cvd_recent, ob_imbalance, ob_spread, sweeps and prints (arrays); missing values count as none.
+    """
+    values = [c for c in snapshots.columns if c not in ("symbol", "ts")]
+    newest = snapshots.groupBy("symbol").agg(F.max_by(F.struct(*values), "ts").alias("s"))
+    recent = F.coalesce("s.cvd_recent", F.lit(0.0))
+    return newest.select(
+        "symbol", F.coalesce("s.cvd_full", F.lit(0.0)).alias("cvd_full"), recent.alias("cvd_recent"),
+        F.when(recent > 0, "buy").when(recent < 0, "sell").otherwise("neutral").alias("aggressor_bias"), "s.ob_imbalance", "s.ob_spread",
+        F.coalesce(F.size("s.sweeps"), F.lit(0)).alias("n_sweeps"), F.coalesce(F.size("s.prints"), F.lit(0)).alias("n_prints"), F.lit("live").alias("source"),
+    )
+
+
 def order_flow(bars: DataFrame, lookback: int = 20, print_factor: float = 2.5) -> DataFrame:
     """Approximate CVD, its correlation with price, share of buying and large prints, over `lookback` bars.
 

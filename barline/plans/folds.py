@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .market import _GROUPS, _MOM, _SESSION, _STRUCT
-from .shape import KEY, NOW, R, bars_sql, r
+from .shape import KEY, NOW, R, ROWS, bars_sql, r
 
 _MOM_SIDE = """case when close > ma then 'long' else 'short' end as direction, case when close > ma then close - room else close + room end as stop,
   case when close > ma then close + room else close - room end as target"""
@@ -57,7 +57,35 @@ fz as (select symbol, n, case when n < 300 then greatest(1, floor(n * 0.7::doubl
 fx as (select *, case when short then o else 100 end as hop from fy), ff as (select symbol, a, o, hop, unnest(range(0, n - a - o + 1, hop)) as pos from fx),
 fd as (select symbol, (pos / hop)::bigint as step, 'is' as part, pos as lo, pos + a - 1 as hi from ff union all select symbol, (pos / hop)::bigint, 'oos', pos + a, pos + a + o - 1 from ff)"""
 
+#: Accumulation (every level of it is extreme here) and what the spike pattern sees of each bar; then its fold, with bars
+#: passed over after a confirmed bounce. Spans of five bars, 80 bp at least for a spike, less than so many bp for calm (#).
+_SPIKES = f"""{bars_sql()}, a0 as (select *, case when high = low then 0.0 else (2 * close - high - low) / (high - low) end as clv, row_number() {KEY} as i, count(*) {R(19)} as c20, avg(volume) {R(19)} as m20, avg(close) {R(19)} as a20 from bars),
+a1 as (select *, round(sum(clv * volume) {ROWS}, 6) as ad, case when c20 >= 20 then a20 end as ma, min(low) {R(4)} as lo, max(high) {R(4)} as hi from a0),
+a2 as (select *, lag(ad) {KEY} as p, lag(ad, 2) {KEY} as q, lag(close) {KEY} as pc, lag(ma) {KEY} as pm from a1),
+a3 as (select *, i >= 5 and case when lo = 0 then 0.0 else (hi - lo) / lo * 10000 end >= 80 as hit, i >= 5 and case when lo = 0 then 0.0 else (hi - lo) / lo * 10000 end < # as quiet,
+  coalesce(p < q and ad > p and close > ma, false) as up, coalesce(i >= 4 and q < p and p < ad, false) as improving from a2),
+a4 as (select *, coalesce(ma is not null and (ad >= 0 or improving) and close >= ma * 0.995, false) and not coalesce(close < ma and pc < ma and not ma > pm, false) as good from a3)"""
+
+
+def spike_sql(good: str, pause: int, quiet: str) -> str:
+    """z: a row for each bar with spike, price, calm, bounce and sig."""
+    return f"""{_SPIKES.replace("#", quiet)}, z as (select symbol, 0::bigint as i, null::timestamp as ts, null::double as kept, 0::bigint as since, null::timestamp as wakes, false as spike, null::double as price, false as calm, false as bounce, false as sig from a4 group by symbol
+ union all
+ select symbol, i, ts, case when not sig then price end, held_at, case when sig then ts + interval '{pause} seconds' else wakes end, spike, price, calm, bounce, sig
+ from (select *, bounce and good as sig from (select *, calm and up as bounce from (select *, awake and price is not null and quiet as calm
+ from (select *, case when i - held_at <= 30 or not awake then locked end as price from (select *, case when spike then lo else kept end as locked, case when spike then i else since end as held_at
+ from (select *, awake and hit and kept is distinct from lo as spike from (select b.symbol, b.i, b.ts, b.lo, b.hit, b.quiet, b.up, {good} as good, z.kept, z.since, z.wakes, z.wakes is null or b.ts >= z.wakes as awake
+   from z join a4 b on b.symbol = z.symbol and b.i = z.i + 1))))))))"""
+
+
 ORACLE = {
+    "pattern_spikes": f"with recursive {spike_sql('false', 0, '1e5')} select symbol, {NOW}, spike::int as spike, {r('price', 'spike_price')}, calm::int as consolidating, bounce::int as bouncing from z where i > 0",
+    "signal_rules": f"""with recursive {spike_sql('b.good', 21600, '1e9')}, e as (select a4.*, z.price, greatest(a4.close, z.price * 1.001) as entry from z join a4 using (symbol, i) where z.sig)
+  select symbol, {NOW}, {r('price', 'spike_price')}, {r('entry')}, {r('entry - entry * 50 / 10000', 'stop_loss')}, {r('entry + entry * 35 / 10000', 'tp1')}, {r('entry + entry * 70 / 10000', 'tp2')}, {r('entry + entry * 120 / 10000', 'tp3')},
+  {r('100.0 / (entry * 50 / 10000)', 'position_size')}, {r('least(0.95, 0.6::double + case when c20 >= 20 and volume > 2 * m20 then 0.1 else 0 end + case when improving then 0.1 else 0 end + case when ma > pm then 0.05 else 0 end)', 'confidence')} from e where entry <> 0""",
+    "feat_live_flow": f"""with {bars_sql()}, n as (select symbol, arg_max(struct_pack(e := event_id, p := price, s := size), (t, event_id)) as v from ticks group by symbol),
+  m as (select symbol, v.p as p, v.s as s, case when v.e % 2 = 0 then v.s else -v.s end as c from n)
+  select symbol, {r('p', 'cvd_full')}, {r('c', 'cvd_recent')}, case when c > 0 then 'buy' when c < 0 then 'sell' else 'neutral' end as aggressor_bias, {r('s / 100', 'ob_imbalance')}, null::double as ob_spread, 1::bigint as n_sweeps, 0::bigint as n_prints, 'live' as source from m""",
     "sim_trades": f"""with recursive {_MOM_ORDERS}, {_NOON}, {fold_sql('sn')}
   select k as symbol, {_TIME.format('xt')} as entry_time, {_TIME.format('ts')} as exit_time, xd as direction, {r('xe', 'entry_price')}, {r('price', 'exit_price')}, 1.0::double as size, {r('pnl')}, {r('rm', 'r_multiple')},
   {r('hours', 'hold_hours')}, reason as exit_reason from z where reason is not null""",

@@ -169,6 +169,24 @@ def q_spikes(spark, d):
     return shown(got.select("symbol", "ts", "spike", "spike_price", "consolidating", "bouncing"))
 
 
+def q_rule_signals(spark, d):
+    """Bounces confirmed by the bar's own moving average and accumulation, in the place of wider timeframes."""
+    bars = X.accumulation(candles(spark, d), extreme=1e9).withColumn("h1_prev_close", F.lag("close").over(B.over()))
+    as_wide = {"m15_ma": "ma", "m15_ad": "ad", "m15_ad_improving": "ad_improving", "m30_close": "close", "m30_ma": "ma", "h1_close": "close", "h1_ma_slow": "ma", "h1_ma_slow_rising": "ma_rising"}
+    bars = bars.withColumns({new: F.col(old) for new, old in as_wide.items()})
+    got = G.rule_signals(bars, F.lit(10000.0), G.timeframes_confirm(), 6 * HOUR, quiet_bp=1e9)
+    return shown(got.select("symbol", "ts", "spike_price", "entry", "stop_loss", "tp1", "tp2", "tp3", "position_size", "confidence"))
+
+
+def q_live_flow(spark, d):
+    """The newest event of each type as a snapshot of the stream."""
+    t = ticks(spark, d)
+    signed = F.when(F.col("event_id") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
+    s = t.select("symbol", F.struct("ts", "event_id").alias("ts"), F.col("price").alias("cvd_full"), signed.alias("cvd_recent"), (F.col("size") / 100).alias("ob_imbalance"),
+                 F.lit(None).cast("double").alias("ob_spread"), F.array("event_id").alias("sweeps"), F.lit(None).cast("array<bigint>").alias("prints"))
+    return shown(X.live_flow(s))
+
+
 def q_timeframes(spark, d):
     """Hourly bars confirmed by 4-hour and 12-hour ones that were closed before them."""
     base = X.accumulation(candles(spark, d))
@@ -335,7 +353,7 @@ QUERIES = {
     "feat_accumulation": q_accumulation, "feat_flow": q_flow, "feat_order_flow": q_order_flow, "feat_context": q_context, "feat_vol_regime": q_vol_regime,
     "feat_structure": q_structure, "feat_fvg": q_fvg, "feat_confluence": q_confluence, "feat_confluence_chunked": q_confluence_chunked, "feat_correlation": q_correlation,
     "feat_macro_regime": q_macro_regime, "feat_intent": q_intent, "join_asof": q_asof, "join_news_interval": q_news, "join_trailing_window": q_trailing,
-    **{f"signal_{n}": q_signal(n) for n in G.STRATEGIES}, "gate_cycle": q_gate, "pattern_spikes": q_spikes, "signal_timeframes": q_timeframes, "signal_setup_tags": q_setup_tags,
+    **{f"signal_{n}": q_signal(n) for n in G.STRATEGIES}, "gate_cycle": q_gate, "pattern_spikes": q_spikes, "signal_rules": q_rule_signals, "feat_live_flow": q_live_flow, "signal_timeframes": q_timeframes, "signal_setup_tags": q_setup_tags,
     "sim_trades": q_trades, "sim_equity": q_equity, "metrics_trades": q_trade_metrics, "metrics_curve": q_curve_metrics, "metrics_deflated_sharpe": q_deflated, "metrics_ruin": q_ruin,
     "metrics_pbo": q_pbo, "cv_walk_forward_folds": q_walk_forward_folds, "cv_walk_forward": q_walk_forward, "cv_groups": q_cv_groups, "cv_purged": q_purged, "cv_stitched": q_stitched,
     "cv_combinatorial": q_cpcv, "verdict_promotion": q_verdict, "audit_lookahead": q_lookahead, "positions_exits": q_positions, "costs_round_trip": q_costs, "risk_plan": q_risk_plan,
