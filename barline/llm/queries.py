@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, lines, minhash, sentencepiece, suffixes, token_files, toxicity, vectors
+from . import chat, decontaminate, language, lines, minhash, resampling, sentencepiece, suffixes, token_files, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,11 +81,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenize(spark, _table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_minhash_dedup, op3_sentencepiece, op4_chat_format, op5_suffix_dedup, op6_language_id, op7_decontaminate, op8_vector_dedup, op9_toxicity,
-        op10_token_files,
+        op10_token_files, op11_importance_resampling,
     )
 }
 
@@ -131,6 +135,29 @@ i as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct ite
 select dw.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join c on dw.doc_id = c.doc_id left join i on dw.doc_id = i.doc_id
+""",
+    "op11_importance_resampling": r"""
+with recursive steps as (select i, 0 as done, i::bigint as c from range(256) t(i)
+  union all select i, done + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from steps where done < 8),
+tab as (select list(c order by i) as t from steps where done = 8),
+words as (select 0 as target, row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all select 1, row_number() over (), null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+runs as (select target, row, array_to_string(w[p + 1 : p + n], ' ') as said, count(*) as times
+  from (select target, row, w, n, unnest(range(len(w) - n + 1)) as p from words, (values (1), (2), (3)) v(n) where len(w) >= n) group by all),
+distinct_runs as (select said, hex(encode(said)) as x from (select distinct said from runs)),
+coded as (select said, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::bigint), 4294967295) % 10000 as bucket from distinct_runs, tab),
+hits as (select target, row, bucket, times from runs join coded on runs.said = coded.said),
+counts as (select bucket, sum(times) filter (where target = 0) as s, sum(times) filter (where target = 1) as t from hits group by bucket),
+sums as (select coalesce(sum(s), 0) as ss, coalesce(sum(t), 0) as tt from counts),
+gains as (select bucket, floor(1000 * ln((coalesce(t, 0)::double + 1) * (ss::double + 10000) / ((coalesce(s, 0)::double + 1) * (tt::double + 10000))))::bigint as gain from counts, sums),
+weights as (select row, sum(times)::bigint as n_features, sum(times * gain)::bigint as weight from hits join gains on hits.bucket = gains.bucket where target = 0 group by row),
+scored as (select doc_id, words.row, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296.0::double)))::bigint as score
+  from words left join weights on words.row = weights.row where target = 0),
+placed as (select row, row_number() over (order by score desc, doc_id, row) as rank, count(*) over () as n from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 5 * n // 100 then rank end as rank
+from scored left join placed on scored.row = placed.row
 """,
     "op4_chat_format": r"""
 with rows as (
