@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, lines, minhash, resampling, sentencepiece, suffixes, token_files, toxicity, vectors
+from . import archives, chat, codes, decontaminate, language, lines, minhash, resampling, sentencepiece, suffixes, token_files, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,15 +85,61 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.report(_table(spark, sf_dir, "pages"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_minhash_dedup, op3_sentencepiece, op4_chat_format, op5_suffix_dedup, op6_language_id, op7_decontaminate, op8_vector_dedup, op9_toxicity,
-        op10_token_files, op11_importance_resampling,
+        op10_token_files, op11_importance_resampling, op12_arc_to_warc, op13_vector_codes,
     )
 }
 
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Chained rounds of assigning and averaging, as common table expressions."""
+
+    def assigned(i):
+        return f"""a{i} as materialized (select vec_id, label, part, min(struct_pack(d := d, entry := entry)) as near from (
+    select x.vec_id, x.label, x.part, b.entry, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from x join b{i} b on x.part = b.part) group by all)"""
+
+    def averaged(i):
+        return f"""b{i + 1} as materialized (select b.part, b.entry, coalesce(m.v, b.v) as v from b{i} b left join (
+    select part, entry, list(c order by place) as v from (
+      select x.part, a.near.entry as entry, place, floor(sum(x.v[place]) / count(*))::bigint as c
+      from x join a{i} a on x.vec_id = a.vec_id and x.part = a.part, (select unnest(range(1, 17)) as place) group by x.part, a.near.entry, place)
+    group by part, entry) m on b.part = m.part and b.entry = m.entry)"""
+
+    chain = [part(i) for i in range(rounds) for part in (assigned, averaged)] + [assigned(rounds)]
+    return f"""
+with w as (select vec_id, label, list_transform(embedding::double[], lambda c: floor(1024 * c)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+x as (select vec_id, label, part, v[part * 16 + 1 : part * 16 + 16] as v from w, range(4) p(part)),
+b0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, v from x where vec_id in (select vec_id from w order by vec_id limit 256)),
+{",".join(chr(10) + c for c in chain)},
+s as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from b{rounds}),
+c as (select vec_id, label, string_agg(lpad(lower(to_hex(near.entry)), 2, '0'), '' order by part) as code, sum(near.d)::bigint as error from a{rounds} group by vec_id, label)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from c, s
+"""
+
+
 ORACLE = {
+    "op13_vector_codes": _codes_sql(),
+    "op12_arc_to_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+f as (select body, min(page_id) as first from p where octet_length(body) >= 100 group by body)
+select page_id, octet_length(p.body)::bigint as payload_bytes, sha256(p.body) as payload_digest, case when page_id <> first then 'revisit' else 'response' end as record_type,
+  case when page_id <> first then first end as refers_to, true as verified
+from p left join f on p.body = f.body
+""",
     "op8_vector_dedup": r"""
 with recursive v as (
   select vec_id, embedding::double[] as e from embeddings
