@@ -72,12 +72,16 @@ def trailing_window(df: DataFrame, value: str, days: int, out: str, keys=("symbo
     return df.withColumns({f"{out}_n": F.count(value).over(w), f"{out}_mean": F.avg(value).over(w)})
 
 
-def levels_eaten(trades: DataFrame, book: DataFrame) -> DataFrame:
+def levels_eaten(trades: DataFrame, book: DataFrame, max_age_seconds: float | None = None, bucket_seconds: int | None = None) -> DataFrame:
     """Trades with the number of book levels their price crosses, by the newest book at or before them.
 
-    book: (symbol, ts, bids, asks) with arrays of (price, size), the best first.
+    book: (symbol, ts, bids, asks) with arrays of (price, size), the best first. Books older than max_age_seconds don't count.
     """
-    found = asof_backward(trades, book, ["symbol"], ["bids", "asks"])
+    found = asof_backward(trades, book.withColumn("_book_ts", F.col("ts")), ["symbol"], ["bids", "asks", "_book_ts"], bucket_seconds=bucket_seconds)
+    if max_age_seconds is not None:
+        fresh = F.col("ts").cast("double") - F.col("_book_ts").cast("double") <= max_age_seconds
+        found = found.withColumns({c: F.when(fresh, F.col(c)) for c in ("bids", "asks")})
+    found = found.drop("_book_ts")
     eaten = F.when(F.col("side") == "buy", F.size(F.filter("asks", lambda x: x["price"] <= F.col("price")))).otherwise(
         F.size(F.filter("bids", lambda x: x["price"] >= F.col("price")))
     )

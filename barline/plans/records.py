@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,8 @@ from ..sources import candles as C
 from ..sources import reports as P
 from ..sources import stores as D
 from ..sources.scan import table
-from ..streaming import live
+from ..sources.scratch import shared_dir
+from ..streaming import live, tape
 from .shape import bars_sql, r, shown
 
 
@@ -268,34 +268,28 @@ def q_regimes(spark, d):
     return shown(g.groupBy("symbol").agg(F.count("*").alias("n"), F.max_by("close", "ts").alias("last")))
 
 
-def _folder(spark: SparkSession) -> str:
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return conf or "file://" + tempfile.mkdtemp(prefix="barline-stream-")
-
-
 def q_stream_bars(spark, d):
     """Streamed bars, each emitted once, when the watermark has closed it: those of the last minutes are still open."""
-    return shown(live.drained(live.stream_bars(live.tick_stream(spark, d)), _folder(spark)).withColumnRenamed("bar", "ts"))
+    return shown(live.drained(live.stream_bars(live.tick_stream(spark, d)), shared_dir(spark)).withColumnRenamed("bar", "ts"))
 
 
 def q_stream_cvd(spark, d):
     t = live.tick_stream(spark, d).withColumn("side", F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell"))
-    got = live.drained(live.stream_cvd(t, "6 hours", "3 hours"), _folder(spark))
+    got = live.drained(live.stream_cvd(t, "6 hours", "3 hours"), shared_dir(spark))
     return shown(got.select("symbol", F.col("window.start").alias("ts"), "cvd", "n"))
 
 
 def q_stream_activity(spark, d):
-    got = live.drained(live.stream_activity(live.tick_stream(spark, d)), _folder(spark))
+    got = live.drained(live.stream_activity(live.tick_stream(spark, d)), shared_dir(spark))
     return shown(got.select("symbol", F.col("session_window.start").alias("ts"), "n", "volume"))
 
 
 def q_tape(spark, d):
+    """Ticks as trades: signed volume of the buffer and large prints; without a book no levels are reached."""
     from ..sources.scan import ticks
 
-    t = ticks(spark, d)
-    none = F.lit(None).cast("string")
-    m = t.select("symbol", "ts", F.col("event_id").alias("seq"), F.lit("trade").alias("kind"), "price", "size", F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), none.alias("bids"), none.alias("asks"))
-    return shown(live.batch_tape(m).select("symbol", "seq", "side", "cvd", "print_ratio", "levels"))
+    t = ticks(spark, d).select("symbol", "ts", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), "price", "size")
+    return shown(tape.batch_tape(t).select("symbol", "seq", "side", "cvd", "print_ratio", F.lit(0).alias("levels")))
 
 
 QUERIES = {
@@ -370,6 +364,10 @@ ORACLE = {
     "source_macro": f"select 'X' as series, strftime(o_orderdate::date, '%Y-%m-%d 00:00:00') as ts, count(*) as n, {r('sum(o_totalprice)', 'total')} from orders where o_orderkey % 3 <> 0 group by 1, 2",
     "text_transcripts": r"""with c as (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&(nbsp|#160);', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) as t from pages)
   select page_id, sha256(t) as text_sha256, length(t) as n_chars from c""",
+    "tape_features": f"""with {bars_sql()}, x as (select *, case when event_id % 2 = 0 then 'buy' else 'sell' end as side from ticks),
+  w as (select *, sum(case when side = 'buy' then size else -size end) over (partition by symbol order by t, event_id rows between 4999 preceding and current row) as cvd,
+    median(size) over v as mid, count(size) over v as n from x window v as (partition by symbol order by t, event_id rows between 200 preceding and 1 preceding))
+  select symbol, event_id as seq, side, {r('cvd')}, {r('case when n >= 50 and mid > 0 and size > 5 * mid then size / mid end', 'print_ratio')}, 0::bigint as levels from w""",
     "stream_bars": f"with {bars_sql()} select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {r('open')}, {r('high')}, {r('low')}, {r('close')}, {r('volume')} from bars where ts + interval '1 hour' <= (select max(t) - interval '10 minutes' from ticks)",
     "stream_cvd": f"""with {bars_sql()}, w as (select symbol, event_id, size, unnest([time_bucket(interval '3 hours', t, timestamp '1970-01-01'), time_bucket(interval '3 hours', t, timestamp '1970-01-01') - interval '3 hours']) as s from ticks)
   select symbol, strftime(s, '%Y-%m-%d %H:%M:%S') as ts, {r('sum(case when event_id % 2 = 0 then size else -size end)', 'cvd')}, count(*) as n from w where s + interval '6 hours' <= (select max(t) - interval '10 seconds' from ticks) group by symbol, s""",

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators.bars import keep_last
 
@@ -66,16 +67,17 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataF
 
 
 class PageRange(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
+    def __init__(self, symbol: str, start: int, end: int):
+        self.symbol, self.start, self.end = symbol, start, end
 
 
 class PagedCandles(DataSource):
-    """Batch source "paged_candles": one partition for each span of time, each read page by page.
+    """Source "paged_candles", batch and stream: one partition for each symbol and span of time, each read page by page.
 
-    Options: start, end (ms), step (ms of a bar), span (ms of a partition), limit (rows of a page), symbol, and `fetch`: a
-    pickled-by-name function "module:function" called with (symbol, start_ms, limit) that returns
-    rows [ms, open, high, low, close, volume].
+    Options: symbol (or several, comma-separated), start, end (ms, the end not included), step (ms of a bar), span (ms of a partition), limit (rows of
+    a page), retries, and the feed: either `fetch`, a function named "module:function" called with (symbol, start_ms, limit) that
+    returns rows [ms, open, high, low, close, volume] in order of time, or `table`, the path of a Parquet table of ticks whose bars are paged.
+    A stream's offset is the time up to which bars were read: it starts at `start`, and a restart goes on from its checkpoint.
     """
 
     @classmethod
@@ -88,23 +90,91 @@ class PagedCandles(DataSource):
     def reader(self, schema):
         return PagedReader(self.options)
 
+    def streamReader(self, schema):
+        return PagedStream(self.options)
+
+
+def page_ranges(options: dict, start: int, end: int) -> list[PageRange]:
+    span = int(options.get("span", 86_400_000 * 30))
+    return [PageRange(s, a, min(a + span, end)) for s in options.get("symbol", "X").split(",") for a in range(start, end, span)]
+
+
+def pages_in(options: dict, partition: PageRange) -> Iterator[tuple]:
+    import importlib
+
+    if "table" in options:
+        fetch = TableFeed(options["table"], int(options.get("step", 3_600_000)))
+    else:
+        module, _, name = options["fetch"].partition(":")
+        fetch = getattr(importlib.import_module(module), name)
+    yield from read_pages(fetch, partition.symbol, partition.start, partition.end, int(options.get("limit", 1000)), int(options.get("retries", 3)))
+
 
 class PagedReader(DataSourceReader):
     def __init__(self, options):
         self.o = dict(options)
 
     def partitions(self):
-        start, end, span = int(self.o["start"]), int(self.o["end"]), int(self.o.get("span", 86_400_000 * 30))
-        return [PageRange(a, min(a + span, end)) for a in range(start, end, span)]
+        return page_ranges(self.o, int(self.o["start"]), int(self.o["end"]))
 
     def read(self, partition) -> Iterator[tuple]:
-        import importlib
+        yield from pages_in(self.o, partition)
+
+
+class PagedStream(DataSourceStreamReader):
+    """The same as a stream: a trigger reads what lies between the last offset and the feed's end as given now."""
 
-        module, _, name = self.o["fetch"].partition(":")
-        yield from read_pages(
-            getattr(importlib.import_module(module), name), self.o.get("symbol", "X"), partition.start, partition.end,
-            int(self.o.get("limit", 1000)), int(self.o.get("retries", 3)),
-        )
+    def __init__(self, options):
+        self.o = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"at": int(self.o["start"])}
+
+    def latestOffset(self) -> dict:
+        return {"at": max(int(self.o["end"]), int(self.o["start"]))}
+
+    def partitions(self, start: dict, end: dict):
+        return page_ranges(self.o, start["at"], end["at"])
+
+    def read(self, partition) -> Iterator[tuple]:
+        yield from pages_in(self.o, partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for a batch that is done: pages are asked for anew by time."""
+
+
+class TableFeed:
+    """A feed whose pages are bars of a Parquet table of ticks (event_type, ts, event_id, value, props), on any file system that Arrow knows."""
+
+    def __init__(self, path: str, step: int):
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(path) if "://" in path else (None, path.removeprefix("file:"))
+        self.rows, self.step = ds.dataset(at, filesystem=store, format="parquet"), step
+        newest = [part.statistics["ts"]["max"] for f in self.rows.get_fragments() for part in f.row_groups if "ts" in (part.statistics or {})]
+        self.newest = max(newest, default=dt.datetime(9999, 1, 1))
+
+    def __call__(self, symbol: str, start: int, limit: int) -> list[list]:
+        """The first `limit` bars from `start` on; windows of time are read until they are together."""
+        import json
+
+        import pyarrow.compute as pc
+
+        out, low, wide = [], -(-start // self.step) * self.step, limit * self.step
+        while len(out) < limit and (at := dt.datetime.fromtimestamp(low / 1000, dt.timezone.utc).replace(tzinfo=None)) <= self.newest:
+            until = at + dt.timedelta(milliseconds=wide)
+            here = (pc.field("event_type") == symbol) & (pc.field("ts") >= at) & (pc.field("ts") < until)
+            t = self.rows.to_table(columns=["ts", "event_id", "value", "props"], filter=here).sort_by([("ts", "ascending"), ("event_id", "ascending")])
+            micros = t["ts"].cast("timestamp[us]").cast("int64")
+            bars = pc.multiply(pc.divide(micros, self.step * 1000), self.step)
+            sizes = [float(json.loads(p or "{}").get("k") or 0) for p in t["props"].to_pylist()]
+            grouped = pa.table({"bar": bars, "price": t["value"], "size": pa.array(sizes, pa.float64())}).group_by("bar", use_threads=False).aggregate(
+                [("price", "first"), ("price", "max"), ("price", "min"), ("price", "last"), ("size", "sum")]
+            )
+            out += sorted(list(r) for r in zip(*(grouped[c].to_pylist() for c in ("bar", "price_first", "price_max", "price_min", "price_last", "size_sum"))))
+            low += wide
+        return out[:limit]
 
 
 def read_pages(fetch: Callable, symbol: str, start: int, end: int, limit: int = 1000, retries: int = 3, wait=None) -> Iterator[tuple]:

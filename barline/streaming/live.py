@@ -6,18 +6,14 @@ returns a streaming frame; `drained` runs one over what is there now, as tests a
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
-from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-TRADES, MEDIAN_OF, MEDIAN_FROM, LEVELS = 5000, 200, 50, 5
-
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a stream of ticks; the time is given a zone, which a watermark needs."""
@@ -54,7 +50,6 @@ def stream_activity(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 m
 
 #: One message of the tape: a trade, or a side of the book (snapshot or delta) as JSON pairs [price, size].
 MESSAGE = "symbol string, ts timestamp, seq long, kind string, price double, size double, side string, bids string, asks string"
-TAPE = "symbol string, ts timestamp, seq long, side string, price double, size double, cvd double, print_ratio double, levels int"
 
 
 def parse_frames(raw: DataFrame) -> DataFrame:
@@ -74,87 +69,6 @@ def parse_frames(raw: DataFrame) -> DataFrame:
     return t.unionByName(b)
 
 
-class Tape:
-    """The newest trades and the book of one symbol."""
-
-    def __init__(self, state: dict | None = None):
-        state = state or {}
-        self.signed: list[float] = state.get("signed", [])
-        self.cvd: float = state.get("cvd", 0.0)
-        self.book = {s: {float(p): z for p, z in state.get(s, {}).items()} for s in ("bids", "asks")}
-
-    def dump(self) -> str:
-        return json.dumps({"signed": self.signed, "cvd": self.cvd, **self.book})
-
-    def apply_book(self, kind: str, bids: str | None, asks: str | None) -> None:
-        for side, text in (("bids", bids), ("asks", asks)):
-            if kind == "snapshot":
-                self.book[side] = {}
-            try:
-                levels = json.loads(text) if isinstance(text, str) else []
-            except ValueError:
-                continue
-            for level in levels:
-                try:
-                    price, size = map(float, level)
-                except (TypeError, ValueError):
-                    continue
-                if size > 0:
-                    self.book[side][price] = size
-                elif kind == "delta":
-                    self.book[side].pop(price, None)
-
-    def push(self, side: str, price: float, size: float) -> tuple[float, float | None, int]:
-        """Signed volume with this trade, its ratio to the median if it is a large print, and the levels it crosses."""
-        best = sorted(self.book["asks"]) if side == "buy" else sorted(self.book["bids"], reverse=True)
-        levels = 0
-        for p in best[:LEVELS]:
-            if (price >= p) if side == "buy" else (price <= p):
-                levels += 1
-            else:
-                break
-        ratio = None
-        if len(self.signed) >= MEDIAN_FROM:
-            mid = median(map(abs, self.signed[-MEDIAN_OF:]))
-            if mid > 0 and size > 5 * mid:
-                ratio = size / mid
-        value = size if side == "buy" else -size
-        self.signed.append(value)
-        self.cvd += value
-        if len(self.signed) > TRADES:
-            self.cvd -= self.signed.pop(0)
-        return self.cvd, ratio, levels
-
-
-def _follow(symbol: str, tape: Tape, pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for m in pdf.sort_values(["ts", "seq"], kind="stable").itertuples():
-        if m.kind == "trade":
-            out.append((symbol, m.ts, m.seq, m.side, m.price, m.size, *tape.push(m.side, m.price, m.size)))
-        else:
-            tape.apply_book(m.kind, m.bids, m.asks)
-    names = [x.split()[0] for x in TAPE.split(", ")]
-    return pd.DataFrame(out, columns=names).astype({"print_ratio": "float64", "levels": "int32"} if out else {})
-
-
-def batch_tape(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("symbol").applyInPandas(lambda key, pdf: _follow(key[0], Tape(), pdf), TAPE)
-
-
-def stream_tape(messages: DataFrame) -> DataFrame:
-    """The same over a stream: trades and book updates of a symbol in one keyed state, in order of exchange time
-    within each trigger."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        tape = Tape(json.loads(state.get[0]) if state.exists else None)
-        whole = pd.concat(list(frames))
-        out = _follow(key[0], tape, whole)
-        state.update((tape.dump(),))
-        yield out
-
-    return messages.groupBy("symbol").applyInPandasWithState(step, TAPE, "tape string", "append", GroupStateTimeout.NoTimeout)
-
-
 def stream_cooldown(signals: DataFrame, seconds: int) -> DataFrame:
     """signals (symbol, ts, reason) that come at least so long after the last one that passed: signal intervals, alert
     throttles and message limits."""

@@ -133,30 +133,6 @@ def test_unfit_changes(target, diff):
         Z.shadow({}, {"target": target, "diff": diff})
 
 
-def test_stream_equals_batch(spark, data, tmp_path):
-    folder = tmp_path / "in"
-    t = ticks(spark, data).where("event_id < 400")
-    none = F.lit(None).cast("string")
-    m = t.select("symbol", "ts", F.col("event_id").alias("seq"), F.lit("trade").alias("kind"), "price", "size", F.lit("buy").alias("side"), none.alias("bids"), none.alias("asks"))
-    m.coalesce(1).write.parquet(str(folder))
-    stream = live.stream_tape(spark.readStream.schema(m.schema).parquet(str(folder)))
-    got = live.drained(stream, "file://" + str(tmp_path / "out"))
-    key = lambda df: sorted((r.symbol, r.seq, round(r.cvd, 6)) for r in df.collect())
-    assert key(got) == key(live.batch_tape(m))
-
-
-def test_book_messages():
-    tape = live.Tape()
-    tape.apply_book("snapshot", '[["10","20"],["9","10"],["x","1"]]', '[["11","15"]]')
-    tape.apply_book("delta", '[["9","0"],["8","10"]]', None)
-    assert sum(tape.book["bids"].values()) == 30 and tape.book["asks"] == {11.0: 15.0}
-    tape.book["asks"] = {2001.0 + i: 1.0 for i in range(5)}
-    assert tape.push("buy", 2003.0, 1.0)[2] == 3
-    for _ in range(60):
-        tape.push("sell", 1.0, 1.0)
-    assert tape.push("buy", 1.0, 20.0)[1] == 20.0
-
-
 def test_frames(spark):
     rows = [("T", dt.datetime(2024, 1, 1), 1, json.dumps({"topic": "publicTrade.T", "data": [{"T": 1000, "p": "5", "v": "2", "S": "Buy"}, {"T": 1, "p": "x", "v": "1", "S": "Buy"}]})),
             ("T", dt.datetime(2024, 1, 1), 2, json.dumps({"topic": "orderbook.50.T", "type": "delta", "data": {"b": [["1", "2"]], "a": []}})), ("T", dt.datetime(2024, 1, 1), 3, '{"op": "pong"}')]
