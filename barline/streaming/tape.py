@@ -137,8 +137,8 @@ class TapeProcessor(StatefulProcessor):
         self.recent.put([(s,) for s in sizes.order])
         for side in book.values():
             side.store()
-        names = [x.split()[0] for x in OUT.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({"print_ratio": "float64", "levels": "int32"} if out else {})
+        if out:
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")]).astype({"print_ratio": "float64", "levels": "int32"})
 
     def close(self) -> None:
         pass
@@ -194,14 +194,15 @@ class SilenceProcessor(StatefulProcessor):
         if before != last:
             self.handle.registerTimer(last + self.limit_ms)
             self.last.update((last, told))
-        yield self._alerts(key, out)
+        if out:
+            yield self._alerts(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, told = self.last.get()
         due = expiredTimerInfo.getExpiryTimeInMs() == last + self.limit_ms and not told
         if due:
             self.last.update((last, True))
-        yield self._alerts(key, [last] if due else [])
+            yield self._alerts(key, [last])
 
     def close(self) -> None:
         pass
