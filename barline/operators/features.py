@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .joins import asof_backward
 from .bars import by_time_chunks, full, history, over, rows, running
 
 TINY = 1e-12
@@ -396,6 +397,48 @@ def rolling_correlation(asset: DataFrame, macro: DataFrame, days: int = 30) -> D
     return pairs.withColumn("corr", F.when(enough, corr)).select("symbol", "series", "day", "corr")
 
 
+def live_correlation(asset: DataFrame, macro: DataFrame, days: int = 30) -> DataFrame:
+    """(symbol, series, ts, corr) of each bar: over the returns of the last closed days and of the day so far.
+
+    asset, macro: (symbol, ts, close), bars; a macro symbol becomes `series`. A day counts where both sides have a return. Closed days come as
+    co-moments (n, sums, squares, products), which the day so far is added to: days - 1 of them with a return of today, which needs
+    a macro bar of today at or before the bar, else the last `days`. Series that share no day's return with the asset give no row. Null below max(5, days // 2) returns. Bars meet a row of their day,
+    never other days' bars.
+    """
+    def closes(df, value):
+        day = F.to_date("ts").alias("day")
+        last = df.where("close is not null").groupBy("symbol", day).agg(F.max_by("close", "ts").alias(value))
+        return last.withColumn(f"prev_{value}", F.lag(value).over(Window.partitionBy("symbol").orderBy("day")))
+
+    a, m = closes(asset, "a"), closes(macro, "m").withColumnRenamed("symbol", "series")
+    x, y = F.col("a") / F.col("prev_a") - 1, F.col("m") / F.col("prev_m") - 1
+    pairs = a.join(m, "day").select("symbol", "series", "day", x.alias("x"), y.alias("y")).where("x is not null and y is not null")
+    sums = {"n": F.lit(1.0), "sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "syy": F.col("y") * F.col("y"), "sxy": F.col("x") * F.col("y")}
+    w = Window.partitionBy("symbol", "series").orderBy("day")
+    moments = pairs.select("symbol", "series", F.col("day").cast("timestamp").alias("ts"), *(
+        F.struct(*(F.sum(c).over(w.rowsBetween(1 - k, 0)).alias(n) for n, c in sums.items())).alias(f"last_{k}") for k in (days - 1, days)
+    ))
+    # what a day starts from: a moment before it, and the newest closes of days before it
+    starts = a.select("symbol", "day").join(pairs.select("symbol", "series").distinct(), "symbol")
+    before = starts.select("symbol", "series", "day", (F.col("day").cast("timestamp") - F.expr("interval 1 day")).alias("ts"))
+    before = asof_backward(before, moments, ["symbol", "series"], [f"last_{days - 1}", f"last_{days}"])
+    before = asof_backward(before, a.select("symbol", F.col("day").cast("timestamp").alias("ts"), F.col("a").alias("a0")), ["symbol"], ["a0"])
+    before = asof_backward(before, m.select("series", F.col("day").cast("timestamp").alias("ts"), F.col("m").alias("m0")), ["series"], ["m0"]).drop("ts")
+    bars = asset.where("close is not null").select("symbol", "ts", "close", F.to_date("ts").alias("day")).join(before, ["symbol", "day"])
+    live = macro.where("close is not null").select(F.col("symbol").alias("series"), F.to_date("ts").alias("day"), "ts", F.col("close").alias("now"))
+    met = asof_backward(bars, live, ["series", "day"], ["now"])
+    today = (F.col("close") / F.col("a0") - 1, F.col("now") / F.col("m0") - 1)
+    both = F.coalesce(today[0].isNotNull() & today[1].isNotNull(), F.lit(False))
+    tx, ty = (F.when(both, t).otherwise(0.0) for t in today)
+    extra = {"n": both.cast("double"), "sx": tx, "sy": ty, "sxx": tx * tx, "syy": ty * ty, "sxy": tx * ty}
+    total = met.select("symbol", "series", "ts", *(
+        (F.coalesce(F.when(both, F.col(f"last_{days - 1}.{k}")).otherwise(F.col(f"last_{days}.{k}")), F.lit(0.0)) + extra[k]).alias(k) for k in sums
+    ))
+    across = (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)
+    corr = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(F.when(across > 0, across))
+    return total.select("symbol", "series", "ts", F.when(F.col("n") >= max(5, days // 2), corr).alias("corr"))
+
+
 def macro_regime(dxy: Column, us10y: Column, spx: Column) -> Column:
     known = F.size(F.array_compact(F.array(dxy, us10y, spx)))
     weak = F.size(F.filter(F.array(dxy, us10y, spx), lambda c: F.abs(c) >= 0.2))

@@ -93,3 +93,16 @@ def cached_decisions(proposals: DataFrame, answers: DataFrame, ttl: int, keys: l
     )
     joined = seen.withColumn("_asked", asked).join(said, "_asked", "left")
     return joined.select(id_col, *keys, bar, (~F.col("kept")).alias("cached"), action.alias("action"), reason.alias("reason"), (action == "TAKE").alias("approved"))
+
+
+def cached_latest(requests: DataFrame, source: DataFrame, ttl: int, values: list[str], at: str = "at", id_col: str = "id", bucket: int | None = None) -> DataFrame:
+    """requests with `fetched` (whether this one asked the source), `fetched_at` and the source's newest `values` of that time.
+
+    A request within `ttl` of the last fetch takes over what that brought, also where the source has moved on since. source: (at, values).
+    """
+    one = requests.withColumn("_all", F.lit(1))
+    seen = spaced(one, ["_all"], at, ttl, [id_col], bucket=bucket)
+    fetches = seen.where("kept").select("_all", F.col(at).alias("entry")).distinct()
+    brought = asof_backward(fetches.withColumn("_n", F.col("entry")), source.select(F.lit(1).alias("_all"), F.col(at).alias("_n"), *values), ["_all"], values, "_n", bucket_seconds=bucket)
+    joined = seen.join(brought.select("entry", *values), "entry", "left")
+    return joined.select(*requests.columns, F.col("kept").alias("fetched"), F.col("entry").alias("fetched_at"), *values)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bars as B
+from ..operators import features as X
 from ..operators import joins, spacing
 from ..sources import candles
+from ..sources import reports as P
 from ..sources.scan import table, ticks
 from ..sources.scratch import shared_dir
 from ..streaming import live, tape
@@ -135,6 +138,34 @@ def q_paged_stream(spark, d):
     return shown(live.drained(spark.readStream.format("paged_candles").options(**paged_options(spark, d)).load(), shared_dir(spark)))
 
 
+def q_live_correlation(spark, d):
+    """Purchases against the other types, at each hourly bar, over 14 days with the day so far."""
+    c = B.bars_from_ticks(ticks(spark, d)).select("symbol", "ts", "close")
+    return shown(X.live_correlation(c.where("symbol = 'purchase'"), c.where("symbol <> 'purchase'"), 14))
+
+
+def q_report_cache(spark, d):
+    """Requests for the newest report (an order's total, by its second) from views, behind a cache of a day."""
+    e = table(spark, d, "events").where("event_type = 'view'").select(F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    o = table(spark, d, "orders")
+    source = o.where("o_orderkey % 20 = 0").select((F.lit(1704067200) + F.col("o_orderkey") * 7919 % 2592000).alias("at"), F.col("o_totalprice").alias("total")).withColumn("at", F.col("at") * 1_000_000)
+    return shown(spacing.cached_latest(e, source, 86_400_000_000, ["total"], bucket=5 * 86_400_000_000))
+
+
+def q_report_text(spark, d):
+    """Report texts written from orders, two blocks each, and read again."""
+    k = F.col("o_orderkey")
+    number = lambda i: F.format_number(k * i, 0)
+    interest = F.when(k % 2 == 0, F.concat(F.format_number(k * 100, 0), F.lit(" "))).otherwise("")
+    row = F.concat(F.lit("ALL  : "), interest, F.concat_ws(" : ", *(number(i) for i in range(1, 13))), F.when(k % 3 == 0, F.concat(*(x for i in range(13, 16) for x in (F.lit(" "), number(i))))).otherwise(""))
+    day = F.date_format("o_orderdate", "MMMM d, yyyy")
+    short = F.when(k % 5 == 0, F.date_format("o_orderdate", "MMM d yyyy")).otherwise(day)
+    name = F.when(k % 7 == 0, "Silver - Commodity Exchange Inc.").otherwise("Gold - Commodity Exchange Inc.")
+    other = F.concat(F.lit("COPPER - X\nALL : "), F.array_join(F.array_repeat(F.lit("9"), 15), " "), F.lit("\n\n"))
+    text = F.concat(other, name, F.lit("\nCode-088691   12 3\n\n"), F.when(k % 11 == 0, "no date").otherwise(F.concat(F.lit("(As of   "), short, F.lit(")"))), F.lit("\r\n   \n"), row, F.lit("\n"))
+    return shown(P.parse_report_texts(table(spark, d, "orders").select(k.alias("id"), text.alias("text")), "id", "text"))
+
+
 _CHAIN = """nx as (select {key}, m, min(m) over (partition by {key} order by m range between {reach} following and unbounded following) as nxt from (select distinct {key}, m from {of})),
 ch as (select {key}, min(m) as m from nx group by {key} union all select ch.{key}, nx.nxt from ch join nx on ch.{key} = nx.{key} and ch.m = nx.m where nx.nxt is not null)"""
 
@@ -149,7 +180,8 @@ _BARS = f"with {bars_sql()} select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as
 
 QUERIES = {
     "cache_decisions": q_cache, "throttle_alerts": q_throttle, "tape_stream": q_tape_stream, "silent_symbols": q_silence, "levels_eaten": q_levels,
-    "levels_eaten_stream": q_levels_stream, "source_paged": q_paged, "source_paged_stream": q_paged_stream,
+    "levels_eaten_stream": q_levels_stream, "feat_live_correlation": q_live_correlation, "report_cache": q_report_cache, "source_report_text": q_report_text,
+    "source_paged": q_paged, "source_paged_stream": q_paged_stream,
 }
 
 ORACLE = {
@@ -180,6 +212,32 @@ select symbol, ms as last_ms, ms + 21600000 as alert_ms from g where nxt - ms >
     "levels_eaten": f"with {_LEVELS} select symbol, id, side, price, levels from lv",
     "levels_eaten_stream": f"""with {_LEVELS} select symbol, id, side, price, levels from lv
 where us // 60000000 * 60000000 + 60000000 <= (select least((select max(us) from tr), (select max(ms) * 1000 from bk)) // 1000 * 1000 - 2400000000)""",
+    "feat_live_correlation": f"""with {bars_sql()}, dl as (select symbol, ts::date as day, last(close order by ts) as c from bars group by all),
+rt as (select symbol, day, c / lag(c) over (partition by symbol order by day) - 1 as ret from dl),
+pr as (select a.symbol, m.symbol as series, a.day, a.ret as x, m.ret as y, row_number() over (partition by a.symbol, m.symbol order by a.day) as k
+  from rt a join rt m on a.day = m.day where a.symbol = 'purchase' and m.symbol <> 'purchase' and a.ret is not null and m.ret is not null),
+b as (select bars.symbol, series, ts, ts::date as day, close from bars join (select distinct symbol, series from pr) p on bars.symbol = p.symbol),
+t1 as (select b.*, dl.c as a0 from b asof left join dl on b.symbol = dl.symbol and b.day > dl.day),
+t2 as (select t1.*, dl.c as m0 from t1 asof left join dl on t1.series = dl.symbol and t1.day > dl.day),
+t3 as (select t2.*, t2.close / a0 - 1 as x, case when m.ts::date = t2.day then m.close / m0 - 1 end as y from t2 asof left join bars m on t2.series = m.symbol and t2.ts >= m.ts),
+t4 as (select t3.*, coalesce((select max(k) from pr where pr.series = t3.series and pr.day < t3.day), 0) as k from t3),
+al as (select t4.symbol, t4.series, t4.ts, pr.x, pr.y from t4 join pr on pr.series = t4.series and pr.k <= t4.k and pr.k > t4.k - case when t4.x is not null and t4.y is not null then 13 else 14 end
+  union all select symbol, series, ts, x, y from t4 where x is not null and y is not null),
+mo as (select symbol, series, ts, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(y * y) as syy, sum(x * y) as sxy from al group by all)
+select b.symbol, b.series, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as ts, {r('case when n >= 7 then (n * sxy - sx * sy) / nullif(sqrt(greatest((n * sxx - sx * sx) * (n * syy - sy * sy), 0)), 0) end', 'corr')}
+from b left join mo on b.symbol = mo.symbol and b.series = mo.series and b.ts = mo.ts""",
+    "report_cache": f"""with recursive q as (select event_id as id, epoch_us(ts) as m, 1 as one from events where event_type = 'view'),
+{_CHAIN.format(key="one", reach=86400000000, of="q")},
+so as (select (1704067200 + o_orderkey * 7919 % 2592000) * 1000000 as m, o_totalprice as total from orders where o_orderkey % 20 = 0),
+fe as (select ch.m, so.total from ch asof left join so on ch.m >= so.m),
+en as (select q.*, fe.m as entry, fe.total from q asof join fe on q.m >= fe.m)
+select id, m as "at", (m = entry and id = min(id) over (partition by m))::bigint as fetched, entry as fetched_at, {r('total')} from en""",
+    "source_report_text": f"""with o as (select o_orderkey as k, o_orderdate as day from orders where o_orderkey % 7 <> 0),
+c as (select k, case when k % 11 = 0 then '' else strftime(day, '%Y-%m-%d') end as report_date, k % 2 = 0 and k % 3 = 0 as cut, k % 2 = 0 as interest, k % 3 = 0 as long from o),
+v as (select k, report_date, case when interest and not long then 0 else 1 end as shift, long from c),
+p as (select k as id, report_date, list_transform(range(1, 16), lambda i: case when shift = 1 then (k * i)::double when i = 1 then (k * 100)::double else (k * (i - 1))::double end) as x, long from v)
+select id, report_date, x[1] + x[3] + 0.0 as commercial_long, x[2] + x[4] + 0.0 as commercial_short, x[1] + x[3] - x[2] - x[4] + 0.0 as commercial_net, x[6] + 0.0 as managed_money_long, x[7] + 0.0 as managed_money_short,
+  x[6] - x[7] + 0.0 as managed_money_net, case when long then x[14] else 0.0 end as small_spec_long, case when long then x[15] else 0.0 end as small_spec_short, case when long then x[14] - x[15] else 0.0 end as small_spec_net from p""",
     "source_paged": _BARS, "source_paged_stream": _BARS,
     "throttle_alerts": f"""with recursive t as (select event_type as symbol, event_id, ts, epoch_us(ts) as m from events where cast(json_extract_string(props, '$.k') as double) > 60),
 {_CHAIN.format(key="symbol", reach=7200000000, of="t")}

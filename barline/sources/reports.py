@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 import zipfile
-from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.bars import keep_first, keep_last
@@ -30,18 +28,18 @@ POSITIONS = (
 )
 
 
-def with_nets(df: DataFrame) -> DataFrame:
-    """Group positions and nets from the raw columns pm_*, sd_*, mm_*, nr_*."""
+def with_nets(df: DataFrame, also=()) -> DataFrame:
+    """Group positions and nets from the raw columns pm_*, sd_*, mm_*, nr_*; further columns that stay."""
     groups = {
         "commercial": ("pm_long + sd_long", "pm_short + sd_short"), "managed_money": ("mm_long", "mm_short"), "small_spec": ("nr_long", "nr_short"),
     }
     cols = [e for g, (a, b) in groups.items() for e in (F.expr(a).alias(f"{g}_long"), F.expr(b).alias(f"{g}_short"), F.expr(f"({a}) - ({b})").alias(f"{g}_net"))]
-    return df.select("date", *cols)
+    return df.select("date", *cols, *also)
 
 
-def clean_reports(raw: DataFrame) -> DataFrame:
+def clean_reports(raw: DataFrame, also=()) -> DataFrame:
     """Rows of the wanted market from string columns named as in COLUMNS: thousands commas and quotes go, a bare
-    point or nothing is 0, rows with other text in a number or without a date are left out."""
+    point or nothing is 0, rows with other text in a number or without a date are left out. Columns named in `also` stay."""
     chosen = {}
     names = {c.strip(): c for c in raw.columns}
     for name, options in COLUMNS.items():
@@ -49,14 +47,14 @@ def clean_reports(raw: DataFrame) -> DataFrame:
         if found is None:
             raise ValueError(f"no column for {name}")
         chosen[name] = F.trim(F.col(f"`{found}`"))
-    df = raw.select(*(c.alias(n) for n, c in chosen.items()))
+    df = raw.select(*(c.alias(n) for n, c in chosen.items()), *also)
     for t in TOKENS:
         df = df.where(F.upper("market").contains(t))
     numbers = [n for n in COLUMNS if n not in ("date", "market")]
     text = {n: F.trim(F.regexp_replace(F.coalesce(n, F.lit("")), '[,"]', "")) for n in numbers}
     df = df.withColumns({n: F.when(t.isin("", "."), 0.0).otherwise(t.try_cast("double")) for n, t in text.items()})
     df = df.withColumn("date", F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).cast("date")).dropna(subset=["date", *numbers])
-    return with_nets(df)
+    return with_nets(df, also)
 
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -84,44 +82,55 @@ def read_report_zips(spark: SparkSession, path: str) -> DataFrame:
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, f"{fields}, _file string, _row long")
     kept = raw.withColumnsRenamed({n: o[0] for n, o in COLUMNS.items()})
-    reports = clean_reports(kept.drop("_file", "_row")).withColumn("_at", F.monotonically_increasing_id())
-    return keep_last(reports, ["date"], "_at").drop("_at")
-
-
-def parse_report_text(text: str) -> tuple | None:
-    """(report_date, positions...) of the market's first usable block: a date near its name, and the first row below
-    with twelve numbers. Sixteen or more numbers start with the open interest."""
-    lines = [x for x in text.splitlines() if x.strip()]
-    for at, line in enumerate(lines):
-        if not any(m in line.upper() for m in MARKETS):
-            continue
-        found = ([float(t) for t in re.findall(r"-?\d+(?:\.\d+)?", x.replace(",", ""))] for x in lines[at + 1 : at + 20])
-        numbers = next((n for n in found if len(n) >= 12), None)
-        if numbers is None:
-            continue
-        date = ""
-        for near in lines[max(0, at - 5) : at + 5]:
-            m = re.search(r"as\s+of\s+(\w{3,9})\s+(\d{1,2})[,\s]+(\d{4})", near, re.I)
-            for form in ("%B %d %Y", "%b %d %Y") if m else ():
-                try:
-                    date = date or datetime.strptime(" ".join(m.groups()), form).strftime("%Y-%m-%d")
-                except ValueError:
-                    pass
-        n = numbers[1:] if len(numbers) >= 16 else numbers
-        small = n[13:15] if len(n) >= 15 else [0.0, 0.0]
-        cl, cs, ml, ms = n[0] + n[2], n[1] + n[3], n[5], n[6]
-        return (date, cl, cs, cl - cs, ml, ms, ml - ms, small[0], small[1], small[0] - small[1])
-    return None
+    reports = clean_reports(kept, ["_file", "_row"]).withColumn("_at", F.struct("_file", "_row"))
+    return keep_last(reports, ["date"], "_at").drop("_at", "_file", "_row")
 
 
-def read_report_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each text file that has a usable block."""
+#: Fixed values of the text format: the numbers of a row in order, after the open interest where a row has it.
+LAYOUT = (
+    "pm_long", "pm_short", "sd_long", "sd_short", "sd_spread", "mm_long", "mm_short", "mm_spread", "other_long", "other_short", "other_spread",
+    "total_long", "total_short", "nr_long", "nr_short",
+)
+#: Fewest numbers of a row, numbers of a row with open interest, lines below a market's name in which its row may be, and lines around the name in which the date may be.
+LEAST, WITH_INTEREST, BELOW, AROUND = 12, 16, 19, (-5, 4)
+
+
+def report_lines(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line, market, date, numbers): the lines of each text that aren't blank; what a line is, or null."""
+    said = F.filter(F.split(text_col, r"\r?\n"), lambda x: F.trim(x) != "")
+    line = F.regexp_replace("said", r"\s+", " ")
+    words = F.split(F.regexp_extract(F.lower(line), "as of (.*)", 1), "[^a-z0-9]+")
+    day = F.concat_ws(" ", *(F.get(words, F.lit(i)) for i in range(3)))
+    date = F.coalesce(*(F.try_to_timestamp(day, F.lit(form)) for form in ("MMMM d yyyy", "MMM d yyyy")))
+    tokens = F.filter(F.split(F.regexp_replace(line, ",", ""), "[ :|]+"), lambda t: t.rlike(r"^-?[0-9]+(\.[0-9]+)?$"))
+    numbers = F.transform(tokens, lambda t: t.cast("double"))
+    return texts.select(F.col(id_col).alias("id"), F.posexplode(said).alias("line", "said")).select(
+        "id", "line", F.greatest(*(F.upper(line).contains(m) for m in MARKETS)).alias("market"), F.date_format(date, "yyyy-MM-dd").alias("date"),
+        F.when(F.size(numbers) >= LEAST, numbers).alias("numbers"),
+    )
+
+
+def parse_report_texts(texts: DataFrame, id_col: str = "path", text_col: str = "value") -> DataFrame:
+    """(id, report_date, positions...) of each text's first usable block: a line with the market's name, the first row of numbers
+    below it, and the first date near it (else an empty date). Texts without one give no row; rows too short for the small groups count 0 there."""
+    by_text = Window.partitionBy("id").orderBy("line")
+    near = report_lines(texts, id_col, text_col).withColumns({
+        "row": F.first("numbers", ignorenulls=True).over(by_text.rowsBetween(1, BELOW)), "near_date": F.first("date", ignorenulls=True).over(by_text.rowsBetween(*AROUND)),
+    })
+    first = near.where("market and row is not null").groupBy("id").agg(F.min_by(F.struct("row", "near_date"), "line").alias("b"))
+    at = F.when(F.size("b.row") >= WITH_INTEREST, 1).otherwise(0)
+    value = {n: F.coalesce(F.get("b.row", at + i), F.lit(0.0)).alias(n) for i, n in enumerate(LAYOUT)}
+    # the small groups count only where the row reaches to its last number
+    for n in ("nr_long", "nr_short"):
+        value[n] = F.when(F.size("b.row") - at >= len(LAYOUT), value[n]).otherwise(0.0).alias(n)
+    raw = first.select(F.lit(None).cast("date").alias("date"), F.col("id").alias(id_col), F.coalesce("b.near_date", F.lit("")).alias("report_date"), *value.values())
+    return with_nets(raw, [id_col, "report_date"]).select(id_col, "report_date", *(c.split()[0] for c in POSITIONS.split(", ")))
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([r for r in map(parse_report_text, pdf["value"]) if r], columns=["report_date", *(c.split()[0] for c in POSITIONS.split(", "))])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, f"report_date string, {POSITIONS}")
+def read_report_texts(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each text file that has a usable block."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return parse_report_texts(files).drop("path")
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:

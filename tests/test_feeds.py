@@ -176,3 +176,44 @@ def test_paged_source_goes_on_without_loss_or_repeats(spark, data, tmp_path):
         stream = spark.readStream.format("paged_candles").options(**(options | {"end": str(until)})).load()
         got = sorted(map(tuple, drain(stream, tmp_path / "q").collect()))
         assert got == [r for r in want if r[1].replace(tzinfo=dt.timezone.utc).timestamp() * 1000 < until]
+
+
+def test_live_correlation_with_and_without_today(spark):
+    """On each bar numpy's correlation of the closed days and the day so far; a day on which the macro is silent counts closed days only."""
+    import numpy as np
+
+    from barline.operators import features as X
+
+    rng = np.random.default_rng(3)
+    rows = {"A": [], "M": []}
+    for day in range(25):
+        for hour in (1, 9, 17):
+            for s in rows:
+                if not (s == "M" and (day in (7, 20) or (day == 15 and hour == 1))):
+                    rows[s].append((s, START + dt.timedelta(days=day, hours=hour), 100 + float(rng.standard_normal())))
+    table = lambda s: spark.createDataFrame(rows[s], "symbol string, ts timestamp, close double")
+    got = {r.ts: r["corr"] for r in X.live_correlation(table("A"), table("M"), 10).collect()}
+
+    def returns(s, until):
+        last = {}
+        for _, ts, c in rows[s]:
+            if ts <= until:
+                last[ts.date()] = c
+        days = sorted(last)
+        return {b: last[b] / last[a] - 1 for a, b in zip(days, days[1:])}
+
+    assert len(got) == 75
+    for ts, value in got.items():
+        a, m = returns("A", ts), returns("M", ts)
+        both = sorted(a.keys() & m.keys())[-10:]
+        if len(both) < 5:
+            assert value is None
+        else:
+            assert abs(value - np.corrcoef([a[d] for d in both], [m[d] for d in both])[0, 1]) < 1e-9
+
+
+def test_cached_latest_keeps_what_a_fetch_brought(spark):
+    requests = spark.createDataFrame([(1, 0), (2, 5), (3, 9), (4, 10), (5, 10), (6, 30)], "id long, at long")
+    source = spark.createDataFrame([(1, "x"), (9, "y"), (25, None), (31, "z")], "at long, report string")
+    got = sorted((r.id, r.fetched, r.fetched_at, r.report) for r in spacing.cached_latest(requests, source, 10, ["report"]).collect())
+    assert got == [(1, True, 0, None), (2, False, 0, None), (3, False, 0, None), (4, True, 10, "y"), (5, False, 10, "y"), (6, True, 30, None)]

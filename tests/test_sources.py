@@ -52,11 +52,20 @@ def test_report_zip(spark, tmp_path):
     assert [(str(r.date), r.commercial_net, r.small_spec_long) for r in rows] == [("2022-12-06", 1003.0 - 6, 0.0), ("2023-01-03", -2.0, 7.0)]
 
 
-def test_report_text():
-    text = "Futures (as of December 31, 2024)\nGOLD - COMMODITY EXCHANGE INC.\nAll : 900 10 20 30 45 1 60 20 2 0 0 0 0 0 5 6\n"
-    r = P.parse_report_text(text)
-    assert r[0] == "2024-12-31" and r[1:7] == (40.0, 65.0, -25.0, 60.0, 20.0, 40.0)
-    assert P.parse_report_text("nothing") is None
+def test_report_texts(spark, tmp_path):
+    """The first block of the market that has a row of numbers; dates before and after the name; rows with and without interest."""
+    row = "All : 900 10 20 30 45 1 60 20 2 0 0 0 0 0 5 6"
+    texts = {
+        "a": f"Futures (as of December 31, 2024)\nGOLD - COMMODITY EXCHANGE INC.\n{row}\n", "b": "nothing", "c": "",
+        "d": f"SILVER - X\n{row}\nGC - Commodity Exchange Inc.\nno row\n" + "x\n" * 20 + f"Gold - Commodity Exchange, Inc.\n\n AS  OF Jan 3 2023 \r\n1,000 2 3 4 5 6 7 8 9 10 11 -12\n",
+        "e": f"GOLD - COMMODITY EXCHANGE INC.\nas of Smarch 3, 2024\n{row}", "f": "GOLD - COMMODITY EXCHANGE INC.\n1 2 3",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = {(r.report_date, r.commercial_long, r.commercial_short, r.managed_money_long, r.managed_money_short, r.small_spec_long, r.small_spec_net) for r in P.read_report_texts(spark, str(tmp_path)).collect()}
+    assert got == {("2024-12-31", 40.0, 65.0, 60.0, 20.0, 5.0, -1.0), ("2023-01-03", 1003.0, 6.0, 6.0, 7.0, 0.0, 0.0), ("", 40.0, 65.0, 60.0, 20.0, 5.0, -1.0)}
+    nulls = spark.createDataFrame([(1, None), (2, texts["a"])], "id long, text string")
+    assert [r.id for r in P.parse_report_texts(nulls, "id", "text").collect()] == [2]
 
 
 def test_calendar(spark, tmp_path):
