@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import features as X
-from ..operators import joins, spacing
+from ..operators import joins, similar, spacing
 from ..sources import candles
 from ..sources import reports as P
 from ..sources.scan import table, ticks
@@ -166,6 +166,14 @@ def q_report_text(spark, d):
     return shown(P.parse_report_texts(table(spark, d, "orders").select(k.alias("id"), text.alias("text")), "id", "text"))
 
 
+def q_similar_pairs(spark, d):
+    """Hypotheses of every second part against those of all: pairs at least 0.9 alike, ids shown by brand and size."""
+    p = table(spark, d, "part")
+    made = p.select("p_partkey", F.format_string('{"brand": "%s", "size": %d}', "p_brand", F.col("p_size")).alias("hypothesis_text")).withColumn(
+        "hypothesis_id", F.concat_ws("-", F.get_json_object("hypothesis_text", "$.brand"), F.get_json_object("hypothesis_text", "$.size")))
+    return shown(similar.similar_pairs(made.where("p_partkey % 2 = 0"), made, 0.9))
+
+
 _CHAIN = """nx as (select {key}, m, min(m) over (partition by {key} order by m range between {reach} following and unbounded following) as nxt from (select distinct {key}, m from {of})),
 ch as (select {key}, min(m) as m from nx group by {key} union all select ch.{key}, nx.nxt from ch join nx on ch.{key} = nx.{key} and ch.m = nx.m where nx.nxt is not null)"""
 
@@ -180,7 +188,7 @@ _BARS = f"with {bars_sql()} select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as
 
 QUERIES = {
     "cache_decisions": q_cache, "throttle_alerts": q_throttle, "tape_stream": q_tape_stream, "silent_symbols": q_silence, "levels_eaten": q_levels,
-    "levels_eaten_stream": q_levels_stream, "feat_live_correlation": q_live_correlation, "report_cache": q_report_cache, "source_report_text": q_report_text,
+    "levels_eaten_stream": q_levels_stream, "feat_live_correlation": q_live_correlation, "report_cache": q_report_cache, "registry_similar_pairs": q_similar_pairs, "source_report_text": q_report_text,
     "source_paged": q_paged, "source_paged_stream": q_paged_stream,
 }
 
@@ -226,6 +234,10 @@ al as (select t4.symbol, t4.series, t4.ts, pr.x, pr.y from t4 join pr on pr.seri
 mo as (select symbol, series, ts, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(y * y) as syy, sum(x * y) as sxy from al group by all)
 select b.symbol, b.series, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as ts, {r('case when n >= 7 then (n * sxy - sx * sy) / nullif(sqrt(greatest((n * sxx - sx * sx) * (n * syy - sy * sy), 0)), 0) end', 'corr')}
 from b left join mo on b.symbol = mo.symbol and b.series = mo.series and b.ts = mo.ts""",
+    "registry_similar_pairs": f"""with h as (select distinct p_brand as b, p_size as s, p_partkey % 2 = 0 as fresh from part),
+x as (select a.b || '-' || a.s as new_id, k.b || '-' || k.s as known_id, a.b as ab, k.b as kb, a.s as sa, k.s as sk from h a join (select distinct b, s from h) k on a.s = k.s where a.fresh and a.b <> k.b),
+m as (select new_id, known_id, 2 * (6 + list_has_any(string_split(substr(ab, 7), ''), string_split(substr(kb, 7), ''))::int) / (length(ab) + length(kb)) as same from x)
+select new_id, known_id, {r('(same + 1) / 2', 'score')} from m where (same + 1) / 2 >= 0.9""",
     "report_cache": f"""with recursive q as (select event_id as id, epoch_us(ts) as m, 1 as one from events where event_type = 'view'),
 {_CHAIN.format(key="one", reach=86400000000, of="q")},
 so as (select (1704067200 + o_orderkey * 7919 % 2592000) * 1000000 as m, o_totalprice as total from orders where o_orderkey % 20 = 0),
