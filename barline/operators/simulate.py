@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
+
 
 @dataclass(frozen=True)
 class Costs:
@@ -144,6 +146,53 @@ def cost_record(costs: Costs) -> dict:
 SCALE_OUT = ("TP1", "TP2", "TP3")
 
 
+def pyramid(prices: DataFrame) -> dict[str, DataFrame]:
+    """Lowest and highest price of each symbol's days, months and years, each made from the finer one."""
+    low, high = F.min("low").alias("low"), F.max("high").alias("high")
+    days = prices.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    days, _ = saved(days.withColumns({"month": F.trunc("day", "month"), "year": F.trunc("day", "year")}), "days")
+    months = days.groupBy("symbol", "year", "month").agg(low, high)
+    return {"day": days, "month": months, "year": months.groupBy("symbol", "year").agg(low, high)}
+
+
+def first_touches(positions: DataFrame, prices: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """(position_id, level, day): the first day after a position's entry day on which the price reaches a level, where there is one.
+
+    Level columns named sl are reached from the losing side, others from the winning one. Searched down a pyramid by equi-joins: the days
+    left of the entry's month, then the months left of its year, then later years, and in what was found the months and days. So a level meets at most the
+    days of two months, the months of two years and the years, however many days follow.
+    """
+    reach = pyramid(prices)
+    long = F.col("direction") == "long"
+    entry = F.to_date("entry_ts")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("level"), F.col(c).cast("double").alias("price"), (~long if c == "sl" else long).alias("above")) for c in levels))).alias("l")
+    asks = positions.select("position_id", "symbol", entry.alias("entry"), F.trunc(entry, "month").alias("month"), F.trunc(entry, "year").alias("year"), each).select(
+        "position_id", "symbol", "entry", "month", "year", "l.*"
+    )
+    asks, _ = saved(asks, "asks")
+    key = ["position_id", "level"]
+    own = [*key, "symbol", "price", "above"]
+    hit = F.when(F.col("above"), F.col("high") >= F.col("price")).otherwise(F.col("low") <= F.col("price"))
+
+    def first(rows: DataFrame, unit: str, on: list[str], later: str | None = None) -> DataFrame:
+        """The first unit of each ask among those that share `on` with it, with `later` only those after it."""
+        found = reach[unit].select(*on, F.col(unit).alias("_unit"), "low", "high")
+        met = rows.join(found, on).where(hit)
+        if later:
+            met = met.where(F.col("_unit") > F.col(later))
+        return met.groupBy(*own).agg(F.min("_unit").alias(unit))
+
+    in_month = first(asks, "day", ["symbol", "month"], "entry")
+    in_month, _ = saved(in_month, "in-month")
+    rest = asks.join(in_month.select(*key), key, "left_anti")
+    in_year, _ = saved(first(rest.withColumnRenamed("month", "_from"), "month", ["symbol", "year"], "_from"), "in-year")
+    rest = rest.join(in_year.select(*key), key, "left_anti")
+    years = first(rest.withColumnRenamed("year", "_from"), "year", ["symbol"], "_from")
+    months = in_year.unionByName(first(years, "month", ["symbol", "year"]))
+    days = in_month.unionByName(first(months, "day", ["symbol", "month"]))
+    return days.select(*key, "day")
+
+
 def manage_positions(positions: DataFrame, prices: DataFrame, scale_pct=(25.0, 25.0, 25.0), track_remaining: bool = False) -> DataFrame:
     """Exit events of positions over a price stream: the stop first, then targets that scale out.
 
@@ -151,19 +200,14 @@ def manage_positions(positions: DataFrame, prices: DataFrame, scale_pct=(25.0, 2
     A stop after partial exits closes the whole entry size, and the third target closes the position, unless
     track_remaining: then only what is left is closed, and only when nothing is left.
 
-    A position meets the lowest and highest price of each day (a small table) first, and then only the ticks of its
-    first day and of the days that first reach one of its four levels: nothing happens to it on the others.
+    A position meets only the ticks of its first day and of the days that first reach one of its four levels
+    (`first_touches`): nothing happens to it on the others.
     """
     day = F.to_date("ts").alias("day")
-    reach = prices.groupBy("symbol", day).agg(F.min("price").alias("low"), F.max("price").alias("high"))
-    later = positions.join(reach, "symbol").where(F.col("day") > F.to_date("entry_ts"))
-    long = F.col("direction") == "long"
-    below, above = (lambda c: F.col("low") <= F.col(c)), (lambda c: F.col("high") >= F.col(c))
-    tests = {"sl": (below, above), **{t.lower(): (above, below) for t in SCALE_OUT}}
-    first = [F.min(F.when(F.when(long, a(c)).otherwise(b(c)), F.col("day"))).alias(f"day_{c}") for c, (a, b) in tests.items()]
-    days = positions.join(later.groupBy("position_id").agg(*first), "position_id", "left").withColumn(
-        "day", F.explode(F.array_distinct(F.array_compact(F.array(F.to_date("entry_ts"), *(f"day_{c}" for c in tests)))))
-    ).select(*positions.columns, "day")
+    reached = first_touches(positions, prices, ("sl", *(t.lower() for t in SCALE_OUT)))
+    days = positions.select(*positions.columns, F.to_date("entry_ts").alias("day")).unionByName(
+        positions.join(reached.select("position_id", "day").distinct(), "position_id").select(*positions.columns, "day")
+    )
     ticks = prices.withColumn("day", day).join(days, ["symbol", "day"]).where(F.col("ts") >= F.col("entry_ts"))
     schema = "position_id string, ts timestamp, event string, price double, size double, pnl double, status string"
 

@@ -311,3 +311,36 @@ def test_sessions_open_on_awake_cycles_alone(spark):
     rows = [("T", at(0), True, None, "asia", None), ("T", at(2), False, None, "london", None), ("T", at(6), False, None, "london", None), ("T", at(20), False, "bear", "london", None), ("T", at(40), False, None, None, None)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, volume_spike boolean, last_bos string, session string, news_event string")
     assert [r.reason for r in G.cycle_gate(df).orderBy("ts").collect()] == ["volume_spike", "cooldown", "session_open_london", "bos_bear", "no_trigger"]
+
+
+def test_first_touches_down_the_pyramid(spark):
+    """The same days as a look at every later day; each level meets few rows."""
+    import datetime as dt
+    import random
+
+    from barline.operators import simulate
+
+    rng = random.Random(6)
+    start = dt.datetime(2019, 11, 20)
+    prices, p = [], 100.0
+    for i in range(1500):
+        p += rng.choice([-1, 0, 1]) * rng.random()
+        prices.append(("S", start + dt.timedelta(days=i, hours=rng.randint(0, 23)), p))
+    rows = []
+    for i in range(60):
+        at = start + dt.timedelta(days=rng.randint(0, 1450), hours=5)
+        side = rng.choice([1, -1])
+        e = prices[(at - start).days][2]
+        rows.append((f"p{i}", "S", at, "long" if side > 0 else "short", e, 10.0, e - side * rng.randint(1, 30), e + side * 1.0, e + side * rng.randint(2, 25), None))
+    pos = spark.createDataFrame(rows, "position_id string, symbol string, entry_ts timestamp, direction string, entry double, size double, sl double, tp1 double, tp2 double, tp3 double")
+    ticks = spark.createDataFrame(prices, "symbol string, ts timestamp, price double")
+    got = {(r.position_id, r.level): r.day for r in simulate.first_touches(pos, ticks, ("sl", "tp1", "tp2", "tp3")).collect()}
+    want = {}
+    for i, _, at, direction, _, _, *levels in rows:
+        for name, level in zip(("sl", "tp1", "tp2", "tp3"), levels):
+            above = (direction == "long") == (name != "sl")
+            days = [t.date() for _, t, x in prices if t.date() > at.date() and level is not None and (x >= level if above else x <= level)]
+            if days:
+                want[i, name] = min(days)
+    assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {}
+    assert len(want) > 80
