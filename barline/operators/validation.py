@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
 from . import metrics, simulate
 from .bars import over
 
@@ -119,17 +120,43 @@ def cpcv(spark: SparkSession, signals: DataFrame, n_groups: int = 10, k_test: in
     rows = groups(signals, n_groups) if keys == ["symbol"] else _groups_by(signals, keys, n_groups)
     seg_keys = [*keys, "grp"]
     curve = simulate.folded(rows, seg_keys, costs, bar_seconds).select(*seg_keys, "seq", "equity", "exit_reason")
+    segments, _ = saved(segment_summaries(curve, seg_keys), "segments")
     picks = F.broadcast(combos(spark, n_groups, k_test))  # C(n, k) * n rows, by the parameters
-    paths = stitched(curve.join(picks, "grp"), [*keys, "combo", "test"], "grp")
-    w = Window.partitionBy(*keys, "combo", "test").orderBy("grp", "seq")
-    ordered = paths.withColumn("seq", F.row_number().over(w))
-    per = metrics.curve_metrics(ordered, [*keys, "combo", "test"], bar_seconds, F.count("exit_reason").alias("trades"))
+    per = joined_segments(segments.join(picks, "grp"), [*keys, "combo", "test"], "grp", metrics.periods_per_year(bar_seconds))
     side = lambda test, c: F.max(F.when(F.col("test") == test, F.col(c)))
     return per.groupBy(*keys, "combo").agg(
         side(False, "sharpe").alias("is_sharpe"), side(True, "sharpe").alias("oos_sharpe"), F.coalesce(side(True, "trades"), F.lit(0)).alias("oos_trades")
     )
 
 
+def segment_summaries(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean, m2, growth, trades) of each segment's equity points: returns counted, their mean and squared deviations."""
+    ret = metrics.returns_of(curve, keys)
+    return ret.groupBy(*keys).agg(
+        F.count("ret").alias("n"), F.coalesce(F.avg("ret"), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop("ret") * F.count("ret"), F.lit(0.0)).alias("m2"),
+        (F.max_by("equity", "seq") / F.min_by("equity", "seq")).alias("growth"), F.count("exit_reason").alias("trades"),
+    )
+
+
+def joined_segments(segments: DataFrame, keys: list[str], order: str, per_year: float) -> DataFrame:
+    """(keys, sharpe, trades) of segments put after one another as `stitched` does it, from their summaries.
+
+    Returns don't change when a segment is scaled, and a joint adds a return of 0, so summaries add up whatever the choice: no point is copied for
+    it. Behind a segment that lost everything there are no more returns.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    over = F.coalesce(F.max((F.col("growth") == 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    rows = segments.withColumns({"_over": over, "_joint": (F.row_number().over(w) > 1).cast("int")})
+    lived = lambda c: F.sum(F.when(~F.col("_over"), c).otherwise(0))
+    n, total = lived(F.col("n") + F.col("_joint")), lived(F.col("n") * F.col("mean"))
+    squares, within = lived(F.col("n") * F.col("mean") ** 2), lived(F.col("m2"))
+    sums = rows.groupBy(*keys).agg(n.alias("n"), total.alias("total"), squares.alias("squares"), within.alias("within"), F.sum("trades").alias("trades"))
+    mean = F.col("total") / F.nullif(F.col("n"), F.lit(0))
+    m2 = F.col("within") + F.col("squares") - F.col("n") * mean**2
+    spread = F.when((F.col("n") > 1) & (m2 > 1e-14 * F.col("squares")), F.sqrt(m2 / F.nullif(F.col("n") - 1, F.lit(0))))
+    return sums.select(*keys, F.coalesce(mean / spread * per_year**0.5, F.lit(0.0)).alias("sharpe"), "trades")
+
+
 def _groups_by(signals: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
     w = Window.partitionBy(*keys)
     rows = signals.withColumns({"i": F.row_number().over(w.orderBy("ts")) - 1, "_n": F.count(F.lit(1)).over(w)})

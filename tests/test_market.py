@@ -344,3 +344,29 @@ def test_first_touches_down_the_pyramid(spark):
                 want[i, name] = min(days)
     assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {}
     assert len(want) > 80
+
+
+def test_joined_segments_are_the_stitched_curve(spark):
+    """Summaries of segments give what the points of the joined curve give, also behind a lost segment and for single points."""
+    import random
+
+    from barline.operators import metrics, validation
+
+    rng = random.Random(12)
+    rows = []
+    for grp in range(5):
+        e = 100.0
+        for seq in range([30, 1, 40, 25, 2][grp]):
+            rows.append(("S", grp, seq, e, "TP" if seq % 7 == 3 else None))
+            e *= 1 + rng.uniform(-0.05, 0.05)
+    curve = spark.createDataFrame(rows, "symbol string, grp int, seq long, equity double, exit_reason string")
+    picks = validation.combos(spark, 5, 2)
+    keys = ["symbol", "combo", "test"]
+    got = validation.joined_segments(validation.segment_summaries(curve, ["symbol", "grp"]).join(picks, "grp"), keys, "grp", 252)
+    points = validation.stitched(curve.join(picks, "grp"), keys, "grp")
+    ordered = points.withColumn("seq", F.col("grp") * 1000 + F.col("seq"))
+    want = metrics.returns_of(ordered, keys).groupBy(*keys).agg(metrics.sharpe("ret", 252).alias("sharpe"), F.count("exit_reason").alias("trades"))
+    shape = lambda df: sorted((r.combo, r.test, round(r.sharpe, 8), r.trades) for r in df.collect())
+    assert shape(got) == shape(want) and len(shape(got)) == 20
+    flat = curve.withColumn("equity", F.lit(100.0))
+    assert {r.sharpe for r in validation.joined_segments(validation.segment_summaries(flat, ["symbol", "grp"]).join(picks, "grp"), keys, "grp", 252).collect()} == {0.0}
