@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sections of a post-mortem note, in order.
@@ -65,6 +65,19 @@ def replace_section(note: Column, header: str, body: Column) -> Column:
     return F.when(found, filled).otherwise(F.concat(F.rtrim(note), F.lit(f"\n\n{header}\n\n"), body, F.lit("\n")))
 
 
+def video_id(text: Column) -> Column:
+    """The id of 11 characters that a text is or that its address names; null without one."""
+    bare = F.trim(text)
+    named = F.regexp_extract(bare, r"(?:v=|/shorts/|youtu\.be/)([0-9A-Za-z_-]{11})", 1)
+    return F.when(bare.rlike(r"^[0-9A-Za-z_-]{11}$"), bare).otherwise(F.nullif(named, F.lit("")))
+
+
+def first_ids(lines: DataFrame, text_col: str, order_col: str) -> DataFrame:
+    """(video_id, first_at, n): every id of the lines once, with its first place and how often it comes; comments and lines without an id are left out."""
+    ids = lines.where(~F.trim(F.col(text_col)).startswith("#")).select(video_id(F.col(text_col)).alias("video_id"), F.col(order_col).alias("at"))
+    return ids.where("video_id is not null").groupBy("video_id").agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
+
+
 def clean_transcript(text: Column) -> Column:
     """Tags and entities out, runs of white space to one space."""
     bare = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"&(nbsp|#160);", " ")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import journal, signals, simulate
 from .bars import resample
-from .features import flow
+from .features import context, flow, structure
 from .joins import asof_backward
 
 #: What a report's fields may hold.
@@ -91,6 +93,27 @@ def change_since(df: DataFrame, value: str, seconds: int = 3600, keys=("symbol",
     return F.col(value) - F.last(value).over(w)
 
 
+def lens_pack(bars: DataFrame, wider: dict[str, tuple[str, int]], reports: DataFrame | None = None, report_span: int = 30 * 86400) -> DataFrame:
+    """Price, flow, structure and context of each bar and, prefixed, of the newest closed bar of each wider timeframe: name -> (interval, its seconds);
+    with reports (ts, commercial_bias, managed_bias, alignment, skew) also the intent of the newest one."""
+
+    def lenses(b: DataFrame) -> DataFrame:
+        parts = (
+            flow(b).select("symbol", "ts", "close", "cvd_full", "aggressor_bias"), structure(b).select("symbol", "ts", "swing_high", "swing_low", "last_bos", "in_premium"),
+            context(b).select("symbol", "ts", "session", "atr", "atr_percentile"),
+        )
+        return functools.reduce(lambda x, y: x.join(y, ["symbol", "ts"]), parts)
+
+    out = lenses(bars)
+    for name, (every, seconds) in wider.items():
+        wide = lenses(resample(bars, every))
+        wide = wide.select("symbol", "ts", *(F.col(c).alias(f"{name}_{c}") for c in wide.columns if c not in ("symbol", "ts", "session")))
+        out = asof_backward(out, wide, ["symbol"], wide.columns[2:], lag_seconds=seconds, bucket_seconds=report_span)
+    if reports is not None:
+        out = asof_backward(out, reports, [], ["commercial_bias", "managed_bias", "alignment", "skew"], bucket_seconds=report_span)
+    return out
+
+
 def feature_pack(bars: DataFrame, wider: dict[str, tuple[str, int]]) -> DataFrame:
     """Flow features of each bar, and of the newest closed bar of each wider timeframe: name -> (interval, its seconds)."""
     names = ["close", "cvd_full", "aggressor_bias"]

@@ -57,8 +57,14 @@ class DatasetStore:
         df.write.parquet(aside)
         fs, goal, jvm = _fs(self.spark, target)
         fs.mkdirs(goal.getParent())
-        fs.delete(goal, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(aside), goal)
+        before = jvm.org.apache.hadoop.fs.Path(f"{aside}-before")  # what was there stays on disk until the new one is in its place
+        had = fs.exists(goal) and fs.rename(goal, before)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(aside), goal):
+            if had:
+                fs.rename(before, goal)
+            raise OSError(f"{target} was not written")
+        if had:
+            fs.delete(before, True)
 
     def names(self) -> list[str]:
         """All dataset names; a directory with Parquet files is one."""
@@ -137,8 +143,8 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def relevant_notes(notes: DataFrame, tags: list[str] | None, limit: int = 3, chars: int = 1500, text: str = "body", name: str = "name") -> DataFrame:
-    """Notes with any of the tags (all notes, without tags) in order of name, cut to `chars`; the limit is the feature."""
-    if tags is not None:
+    """Notes with any of the tags, whatever their case (all notes, without tags) in order of name, cut to `chars`; the limit is the feature."""
+    if tags:
         hit = F.lit(False)
         for t in tags:
             hit = hit | F.lower(F.col(text)).contains(t.lower())

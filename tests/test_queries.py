@@ -7,7 +7,7 @@ import pytest
 
 from barline.plans.catalog import ORACLE, QUERIES
 
-TABLES = "region nation customer supplier part orders lineitem events".split() + ["pages"]
+TABLES = "region nation customer supplier part orders lineitem events".split() + ["pages", "documents"]
 
 
 @pytest.fixture(scope="session")
