@@ -6,8 +6,9 @@ within leaves in double precision, every pair at or above the threshold is verif
 first leaf that its two vectors share), and links are united into components.
 
 Bounds: the forest is fitted on a sample of about `sample` vectors, chosen by a hash of the id; every vector is
-indexed. Its size is bounded by the sample, so the table of leaf sizes is broadcast. Equal vectors are one class with
-a multiplicity. A leaf is not capped: a large one is cut into blocks, and pairs of blocks are compared by
+indexed. Leaves above LARGE times `leaf` get a tree of their own, grown by a task from about FURTHER of their vectors, and so on until no large leaf can be
+parted: so leaves don't grow with the table. Equal vectors are one class with a multiplicity. A leaf that no tree parts (close
+vectors, which are links) is not capped: it is cut into blocks, and pairs of blocks are compared by
 separate tasks that return counts and a spanning link for each vector, never the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
@@ -17,15 +18,22 @@ repeat an id are further vectors. Only the named columns are read.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .decontaminate import maybe_broadcast
+from .minhash import mixed
 from .shared import components, removed, saved
 
 BLOCK = 1024
+#: A leaf of more than so many times the wanted size is parted further; vectors that a further tree is grown from; and how many
+#: vectors one task takes through such a tree, about.
+LARGE, FURTHER, AT_ONCE = 4, 4096, 100_000
 
 
 class Tree:
@@ -94,6 +102,65 @@ def grow_forest(sample: dict[int, np.ndarray], counts: dict[int, int], trees: in
     return forest
 
 
+def part_large(placed: DataFrame, leaf: int, spill: float, seed: int) -> tuple[DataFrame, list[str]]:
+    """placed (leaf, rep, copies, v) with its large leaves parted by trees of their own, as often as that helps; and the paths of its tables."""
+    spark = placed.sparkSession
+    kind = placed.schema["rep"].dataType.simpleString()
+    paths, whole = [], None  # whole: leaves that a tree couldn't part
+    for depth in range(24):
+        sizes = placed.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > LARGE * leaf)
+        if whole is not None:
+            sizes = sizes.join(whole, "leaf", "left_anti")
+        sizes, path = saved(sizes, "large-leaves")
+        paths.append(path)
+        if sizes.isEmpty():
+            break
+        draw = F.shiftrightunsigned(F.xxhash64("rep", F.lit(11 + depth)), 11) / F.lit(float(1 << 53))
+        some = placed.join(sizes, "leaf").where(draw < FURTHER / F.col("size")).select("leaf", "size", "rep", "v")
+
+        def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("rep", kind="stable")
+            rng = np.random.default_rng([seed, depth, key[0] & 0xFFFFFFFF])
+            tree = Tree(unit(pdf["v"]), pdf["size"].iloc[0] / len(pdf), rng, leaf, spill)
+            return pd.DataFrame({"leaf": [key[0]], "tree": [pickle.dumps(vars(tree))], "leaves": [tree.leaves]})
+
+        trees, path = saved(some.groupBy("leaf").applyInPandas(grow, "leaf long, tree binary, leaves int"), "trees")
+        paths.append(path)
+        stuck = trees.where("leaves = 1").select("leaf")
+        whole = stuck if whole is None else whole.union(stuck)
+        parted = trees.where("leaves > 1").join(sizes, "leaf").withColumn("salts", F.ceil(F.col("size") / AT_ONCE).cast("int")).select("leaf", "salts", "tree")
+        # a leaf's tree comes before its vectors, in every task that has some of them
+        mine = placed.join(parted.select("leaf", "salts"), "leaf").select(
+            "leaf", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("nth"), "rep", "copies", "v", F.lit(None).cast("binary").alias("tree")
+        )
+        guides = parted.select("leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("nth"), "tree")
+        dealt = mine.unionByName(guides, allowMissingColumns=True).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "nth")
+
+        def descend(batches):
+            tree = None
+            for batch in batches:
+                nth = np.asarray(batch.column("nth"))
+                guide = np.flatnonzero(nth == 0)
+                for a, b in zip([0, *(guide + 1).tolist()], [*guide.tolist(), len(nth)]):
+                    if b > a:
+                        own = batch.slice(a, b - a)
+                        found = tree.leaves_of(unit(own.column("v").to_pylist()), spill)
+                        take = np.concatenate([rows for rows, _ in found])
+                        base = own.column("leaf")[0].as_py() * 1_000_003
+                        child = np.concatenate([np.full(len(rows), (base + k + 1) & 0xFFFFFFFFFFFFFFFF, np.uint64) for rows, k in found])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(mixed(child).view(np.int64)), *(own.column(c).take(pa.array(take)) for c in ("rep", "copies", "v"))], ["leaf", "rep", "copies", "v"]
+                        )
+                    if b < len(nth):
+                        tree = Tree.__new__(Tree)
+                        vars(tree).update(pickle.loads(batch.column("tree")[b].as_py()))
+
+        further = dealt.mapInArrow(descend, f"leaf long, rep {kind}, copies long, v array<double>")
+        placed, path = saved(placed.join(parted.select("leaf"), "leaf", "left_anti").unionByName(further), "leaves")
+        paths.append(path)
+    return placed, paths
+
+
 def unit(rows) -> np.ndarray:
     x = np.stack(rows).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -171,7 +238,7 @@ def near_duplicates(
                 for tree, first in shared.value[dim]:
                     for found, k in tree.leaves_of(x, spill):
                         at.append(own[found])
-                        where.append(np.full(len(found), first + k, np.int32))
+                        where.append(np.full(len(found), first + k, np.int64))
             at, where = np.concatenate(at), np.concatenate(where)
             order = np.lexsort((where, at))
             at, where = at[order], where[order]
@@ -185,12 +252,17 @@ def near_duplicates(
 
     kind = df.schema[id_col].dataType.simpleString()
     placed = classes.select("rep", "copies", "v").mapInArrow(
-        index, f"leaf int, rep {kind}, copies long, v array<double>, codes array<int>"
+        index, f"leaf long, rep {kind}, copies long, v array<double>, codes array<long>"
     )
     placed, p2 = saved(placed, "leaves")
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    finer, paths = part_large(placed.drop("codes"), leaf, spill, seed)
+    if len(paths) > 1:  # some leaves were parted: a vector's leaves are others now
+        placed = finer.join(finer.groupBy("rep").agg(F.collect_list("leaf").alias("codes")), "rep")
+    blocks = finer.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    blocks, path = saved(blocks, "blocks")
+    paths.append(path)
     cells = (
-        placed.join(F.broadcast(blocks), "leaf")  # a row for each leaf of the bounded forest
+        placed.join(maybe_broadcast(blocks, F.lit(12)), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("leaf", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "copies", "v", "codes")
@@ -218,7 +290,7 @@ def near_duplicates(
         .select("_k0", "_k1", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     known, _ = saved(known, "classes")
-    removed(spark, p1, p2, p3, p4)
+    removed(spark, p1, p2, p3, p4, *paths)
     return keyed.select("id", "_k0", "_k1").join(known, ["_k0", "_k1"], "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(False)).alias("kept"),

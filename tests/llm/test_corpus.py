@@ -462,6 +462,34 @@ def test_blocks_count_each_pair_once(spark, monkeypatch):
     assert [(r.n_links, r.component_id) for r in got] == brute_vectors(rows)
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_leaves_stay_bounded_as_the_table_grows(spark, n, monkeypatch):
+    """With a sample of one size leaves don't grow with the table, every vector stays indexed, and recall holds."""
+    seen = []
+    part = vectors.part_large
+
+    def watched(placed, leaf, spill, seed):
+        before = placed.groupBy("leaf").count().agg(F.max("count")).first()[0]
+        after, paths = part(placed, leaf, spill, seed)
+        seen.append((before, after.groupBy("leaf").count().agg(F.max("count")).first()[0], after.select("rep").distinct().count(), len(paths)))
+        return after, paths
+
+    monkeypatch.setattr(vectors, "part_large", watched)
+    monkeypatch.setattr(vectors, "AT_ONCE", 300)
+    rng = np.random.default_rng(n)
+    base = rng.standard_normal((n, 32))
+    near = base[: n // 4] + rng.standard_normal((n // 4, 32)) * 0.2
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32))]
+    want = brute_vectors(rows)
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf=80, sample=150).orderBy("vec_id").collect()
+    before, after, reps, tables = seen[0]
+    assert before > 320 and after <= 320 and reps == len(rows) and tables > 1
+    assert all(r.n_links <= w for r, (w, _) in zip(got, want))
+    found, planted = sum(r.n_links for r in got), sum(w for w, _ in want)
+    print("recall", found, planted)
+    assert planted > n // 4 and found >= 0.98 * planted
+
+
 def test_vectors_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [1.0, 0.0])]
