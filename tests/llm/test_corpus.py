@@ -690,6 +690,39 @@ def test_shared_folder(spark, monkeypatch):
 
 
 
+def plain_toxicity(model, text):
+    """Noisy-or over sentences, worked out word by word."""
+    clean = 1.0
+    for s in re.split(r"(?<=[.!?;])\s+|\n+", (text or "").lower()):
+        words = re.findall(r"\w+", s)
+        total = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w, *(w[:n] + "~" for n in (4, 5, 6) if len(w) >= n)])
+        clean *= 1 - 1 / (1 + np.exp(-np.clip(total, -40, 40))) if words else 1
+    return 1 - clean
+
+
+def plain_windows(text, span=10):
+    """All windows of a text's words by length, as tuples."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+    return w, {n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for n in range(1, span + 1)}
+
+
+def test_pipeline_filters_against_brute_force(spark):
+    """The toxicity and decontamination stages keep just what plain versions keep, and drop some."""
+    import corpus_pipeline as P
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = toxicity.learn_toxicity(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    kept = {r.doc_id for r in P.drop_toxic(spark, docs, d).collect()}
+    assert kept == {i for i, t in texts.items() if plain_toxicity(model, t) < P.TOXIC} and 0 < len(kept) < len(texts)
+    items = [plain_windows(r.text)[0] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    wanted = {tuple(w[i : i + min(len(w), 10)]) for w in items if w for i in range(len(w) - min(len(w), 10) + 1)}
+    kept = {r.doc_id for r in P.drop_contaminated(spark, docs, d).collect()}
+    assert kept == {i for i, t in texts.items() if not any(wanted & of for of in plain_windows(t)[1].values())} and 0 < len(kept) < len(texts)
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as P
 
