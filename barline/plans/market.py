@@ -105,12 +105,13 @@ def q_correlation(spark, d):
 
 
 def q_macro_regime(spark, d):
+    """The second to fourth symbol as the three macro series, all others as assets."""
     base = X.daily_returns(candles(spark, d))
-    names = sorted(r[0] for r in base.select("symbol").distinct().collect())[:4]  # symbols are a short list
-    got = X.rolling_correlation(base.where(F.col("symbol") == names[0]), base.where(F.col("symbol").isin(names[1:])), 14)
-    wide = got.groupBy("day").pivot("series", names[1:]).agg(F.first("corr"))
-    cols = [F.col(n) for n in names[1:]]
-    return wide.select(F.col("day").cast("string").alias("day"), X.macro_regime(*cols).alias("regime"))
+    names = sorted(r[0] for r in base.select("symbol").distinct().collect())  # symbols are a short list
+    series = names[1:4]
+    got = X.rolling_correlation(base.where(~F.col("symbol").isin(series)), base.where(F.col("symbol").isin(series)), 14)
+    wide = got.groupBy("symbol", "day").pivot("series", series).agg(F.first("corr"))
+    return wide.select("symbol", F.col("day").cast("string").alias("day"), X.macro_regime(*map(F.col, series)).alias("regime"))
 
 
 def q_asof(spark, d):
@@ -454,10 +455,10 @@ ORACLE = {
     "feat_confluence_chunked": f"""with {_CONF} select symbol, {NOW}, {r('ma50')}, {r('(ma50 - ma_ago) / ma50 * 10000', 'ma50_slope_bp')}, {r('(close / ago - 1) * 10000', 'ret20_bp')}, {r('atr14 / close * 10000', 'atr_pct')} from c2""",
     "feat_correlation": f"with {_DAILY}, {_rolled(chr(97) + '.symbol = ' + repr('purchase'), 'm.symbol <> ' + repr('purchase'))} select symbol, series, day::varchar as day, {r('corr')} from co",
     "feat_macro_regime": f"""with {_DAILY}, names as (select symbol, row_number() over (order by symbol) as k from (select distinct symbol from ret)),
-  co as (select n.k, a.day, case when count(*) over v >= 7 then corr(a.ret, m.ret) over v end as corr from ret a join names na on a.symbol = na.symbol and na.k = 1 join ret m on a.day = m.day join names n on n.symbol = m.symbol and n.k between 2 and 4
-    window v as (partition by n.k order by a.day rows between 13 preceding and current row)),
-  wd as (select day, max(case when k = 2 then corr end) as d, max(case when k = 3 then corr end) as u, max(case when k = 4 then corr end) as s from co group by day)
-  select day::varchar as day, case when d is null and u is null and s is null then 'unknown' when coalesce(abs(d), 0) < 0.2 and coalesce(abs(u), 0) < 0.2 and coalesce(abs(s), 0) < 0.2 then 'decoupled'
+  co as (select a.symbol, n.k, a.day, case when count(*) over v >= 7 then corr(a.ret, m.ret) over v end as corr from ret a join names na on a.symbol = na.symbol and na.k not between 2 and 4 join ret m on a.day = m.day join names n on n.symbol = m.symbol and n.k between 2 and 4
+    window v as (partition by a.symbol, n.k order by a.day rows between 13 preceding and current row)),
+  wd as (select symbol, day, max(case when k = 2 then corr end) as d, max(case when k = 3 then corr end) as u, max(case when k = 4 then corr end) as s from co group by symbol, day)
+  select symbol, day::varchar as day, case when d is null and u is null and s is null then 'unknown' when coalesce(abs(d), 0) < 0.2 and coalesce(abs(u), 0) < 0.2 and coalesce(abs(s), 0) < 0.2 then 'decoupled'
    when d < -0.3 and s < -0.3 then 'haven_bid' when d < -0.2 and s > 0.2 then 'risk_on' when d > 0.2 and s < -0.2 then 'risk_off' else 'decoupled' end as regime from wd""",
     "feat_intent": """with o as (select o_orderdate::date as day, sum(case when o_orderstatus = 'O' then o_totalprice else -o_totalprice end) as c, sum(case when o_orderpriority < '3' then o_totalprice else -o_totalprice end) as m from orders group by 1)
   select day::varchar as day, case when c > 0 then 'long' when c < 0 then 'short' else 'neutral' end as commercial_bias, case when m > 0 then 'long' when m < 0 then 'short' else 'neutral' end as managed_bias,
