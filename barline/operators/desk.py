@@ -11,6 +11,10 @@ from . import journal, signals, simulate
 from .bars import resample
 from .features import context, flow, structure
 from .joins import asof_backward
+from .journal import paired
+from .metrics import curve_metrics, trade_aggregates
+from .simulate import folded
+from .spacing import cached_decisions
 
 #: What a report's fields may hold.
 ALLOWED = {
@@ -134,6 +138,25 @@ def filter_statistics(decisions: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def two_arms(signals: DataFrame, answers: DataFrame, ttl: int, keys=("symbol",), bar_seconds: int = 3600, costs=None) -> DataFrame:
+    """A strategy and the same behind a model's filter, run over the same bars: (keys, base_*, other_*, delta_*) of their statistics.
+
+    signals: bars with direction, stop and target. answers: (id, decision, error, rejection) for the bars with a direction, the id being
+    keys and the bar's second, joined by "|". A setup is the keys and the direction: `spacing.cached_decisions` says what the
+    filter lets through, with a cache of `ttl` bars. What it doesn't leaves the bar without an order.
+    """
+    keys = list(keys)
+    ident = F.concat_ws("|", *keys, F.unix_seconds("ts").cast("string"))
+    rows = signals.withColumns({"bar": F.row_number().over(Window.partitionBy(*keys).orderBy("ts")).cast("long"), "id": ident})
+    decided = cached_decisions(rows.where("direction is not null").select("id", *keys, "direction", "bar"), answers, ttl, [*keys, "direction"])
+    passed = decided.where("approved").select("id", F.lit(True).alias("_passed"))
+    filtered = rows.join(passed, "id", "left").withColumn("direction", F.when(F.col("_passed"), F.col("direction")))
+    arms = rows.drop("bar", "id").withColumn("arm", F.lit("base")).unionByName(filtered.drop("bar", "id", "_passed").withColumn("arm", F.lit("filtered")))
+    curves = folded(arms, ["arm", *keys], costs, bar_seconds)
+    results = curve_metrics(curves, ["arm", *keys], bar_seconds, *trade_aggregates())
+    return paired(results, "arm", "base", "filtered", keys, ["total_return", "sharpe", "n_trades", "win_rate", "mean_r"])
+
+
 def filter_alpha(arms: DataFrame, key: str, equity: float) -> DataFrame:
     """What a filter adds to the total return of the arm without it, and its worth after the filter's costs.
 

@@ -364,6 +364,14 @@ ORACLE = {
     "source_macro": f"select 'X' as series, strftime(o_orderdate::date, '%Y-%m-%d 00:00:00') as ts, count(*) as n, {r('sum(o_totalprice)', 'total')} from orders where o_orderkey % 3 <> 0 group by 1, 2",
     "text_transcripts": r"""with c as (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&(nbsp|#160);', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) as t from pages)
   select page_id, sha256(t) as text_sha256, length(t) as n_chars from c""",
+    "text_posts": f"""with {_PROPOSALS}, k as (select *, lower(kill_thesis) as low from pr),
+c as (select id, upper(direction) as side, trim(thesis) as why, case when contains(low, 'close') and (contains(low, 'above') or contains(low, 'below')) then 'structural reclaim'
+  when contains(low, 'minute') or contains(low, 'time') then 'time decay' when contains(low, 'cvd') or contains(low, 'delta') then 'flow reversal' else 'structural invalidation' end as kill_class,
+  (round_even((entry + entry + 4) / 2 / 5, 0) * 5)::bigint::varchar as around from k)
+select id, kill_class, 0::bigint as nth, 'MARKET [PAPER] | ' || case when id % 5 = 0 then 'SKIP' || chr(10) || 'Regime: range' || chr(10) || 'Why: ' || why
+  when id % 7 = 0 then 'NO TRADE' || chr(10) || 'Regime: range | Lenses active: 2/4' || chr(10) || 'Default is NO. Sitting on hands.'
+  else side || chr(10) || 'Regime: range' || chr(10) || 'Setup: around ' || around || chr(10) || 'Target: 3R minimum' || chr(10) || 'Conf: 0.75' || chr(10) || chr(10) || 'Why: ' || why || chr(10) || 'Kill: ' || kill_class end as post
+from c""",
     "tape_features": f"""with {bars_sql()}, x as (select *, case when event_id % 2 = 0 then 'buy' else 'sell' end as side from ticks),
   w as (select *, sum(case when side = 'buy' then size else -size end) over (partition by symbol order by t, event_id rows between 4999 preceding and current row) as cvd,
     median(size) over v as mid, count(size) over v as n from x window v as (partition by symbol order by t, event_id rows between 200 preceding and 1 preceding))

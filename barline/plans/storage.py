@@ -14,7 +14,8 @@ from ..sources import stores as D
 from ..sources.scan import table, ticks
 from ..sources.scratch import fresh_path, removed, saved, shared_dir
 from ..streaming import live
-from . import market
+from . import folds, market
+from .feeds import _CHAIN
 from .records import trades
 from .shape import bars_sql, r, shown
 
@@ -101,6 +102,17 @@ def q_lens_pack(spark, d):
     return shown(pack.withColumns(flags))
 
 
+def q_two_arms(spark, d):
+    """Momentum with and without a filter whose answers follow the hour, cached for five bars. (Total returns over ticks that jump tenfold have too many digits to be shown.)"""
+    s = market._signals(spark, d, "momentum")
+    hour = F.hour("ts")
+    answers = s.where("direction is not null").select(
+        F.concat_ws("|", "symbol", F.unix_seconds("ts").cast("string")).alias("id"), F.when(hour % 3 == 0, "SKIP").otherwise("TAKE").alias("decision"),
+        F.when(hour % 11 == 5, "timeout").alias("error"), F.when(hour % 7 == 6, "rr").alias("rejection"),
+    )
+    return shown(K.two_arms(s, answers, 5).drop(*(f"{p}_total_return" for p in ("base", "other", "delta"))))
+
+
 def _lenses(unit: str) -> str:
     of = lambda name: market.ORACLE[name].replace("date_trunc('hour'", f"date_trunc('{unit}'")
     return f"""(select c.*, {r('b.close', 'close')}, cvd_full, aggressor_bias, swing_high, swing_low, last_bos, in_premium from ({of('feat_context')}) c
@@ -112,10 +124,24 @@ _COLUMNS = ("close", "cvd_full", "aggressor_bias", "swing_high", "swing_low", "l
 
 QUERIES = {
     "store_dataset": q_store, "journal_lines": q_journal_lines, "source_csv": q_csv, "notes_relevant": q_notes, "text_video_ids": q_video_ids, "feat_live_fallback": q_live_fallback,
-    "stream_unique": q_unique, "signal_hypothesis": q_hypothesis_signals, "feat_lens_pack": q_lens_pack,
+    "stream_unique": q_unique, "signal_hypothesis": q_hypothesis_signals, "feat_lens_pack": q_lens_pack, "experiments_two_arms": q_two_arms,
 }
 
+_ARM = "sharpe, n_trades, win_rate, mean_r"
+
 ORACLE = {
+    "experiments_two_arms": f"""with recursive {folds._MOM_ORDERS}, pb as (select *, row_number() over (partition by symbol order by ts) as m from om),
+pp as (select symbol || '|' || direction as setup, symbol, ts, m, hour(ts) as h from pb where direction is not null),
+{_CHAIN.format(key="setup", reach=6, of="pp")},
+en as (select pp.*, c.m as entry from pp asof join ch c on pp.setup = c.setup and pp.m >= c.m),
+de as (select en.symbol, en.ts, a.h % 11 <> 5 and a.h % 3 <> 0 and a.h % 7 <> 6 as passed from en join pp a on a.setup = en.setup and a.m = en.entry),
+sa as (select 'base|' || symbol as k, ts, open, high, low, close, direction, stop, target, false as news from om
+ union all select 'filtered|' || om.symbol, om.ts, open, high, low, close, case when passed then direction end, stop, target, false from om left join de on om.symbol = de.symbol and om.ts = de.ts),
+{folds.fold_sql('sa')}, {folds.curve_sql('z', 'k')},
+x as (select split_part(k, '|', 1) as arm, split_part(k, '|', 2) as symbol, {_ARM} from cm)
+select a.symbol, {", ".join(f"{r(f'{t}.{c}', f'{n}_{c}') if c != 'n_trades' else f'{t}.{c} as {n}_{c}'}" for t, n in (("a", "base"), ("b", "other")) for c in _ARM.split(", "))},
+ {", ".join(r(f'b.{c} - a.{c}', f'delta_{c}') if c != 'n_trades' else f'b.{c} - a.{c} as delta_{c}' for c in _ARM.split(", "))}
+from x a join x b on a.symbol = b.symbol where a.arm = 'base' and b.arm = 'filtered'""",
     "store_dataset": f"""with {bars_sql()} select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {r('open')}, {r('high')}, {r('low')}, {r('close')}, {r('volume + case when day(ts) > 15 then 0.5 else 0 end', 'volume')}
 from bars where ts >= '2024-01-10' and ts <= '2024-01-25 12:00:00'""",
     "journal_lines": f"""select l_orderkey || '-' || l_linenumber as trade_id, l_returnflag || l_linestatus as setup, case when l_linenumber <= 6 then 'CLOSED' else 'OPEN' end as status,
