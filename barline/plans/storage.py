@@ -127,9 +127,25 @@ QUERIES = {
     "stream_unique": q_unique, "signal_hypothesis": q_hypothesis_signals, "feat_lens_pack": q_lens_pack, "experiments_two_arms": q_two_arms,
 }
 
+def _accumulated(seconds: int) -> str:
+    """Accumulation features with closes of bars of so many seconds."""
+    first = f"to_timestamp(floor(epoch(t) / {seconds}) * {seconds})::timestamp"
+    of = lambda sql: sql.replace("date_trunc('hour', t)", first)
+    return f"""(select a.*, strptime(a.ts, '%Y-%m-%d %H:%M:%S') as at_ts, close from ({of(market.ORACLE['feat_accumulation'])}) a
+  join (with {of(bars_sql())} select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, close from bars) b on a.symbol = b.symbol and a.ts = b.ts)"""
+
+
 _ARM = "sharpe, n_trades, win_rate, mean_r"
 
 ORACLE = {
+    "signal_timeframes": f"""with b as (select *, at_ts as t0 from {_accumulated(3600)}),
+m as (select symbol, at_ts + interval 2 hours as known, close, ma, ad, ad_improving from {_accumulated(7200)}),
+h as (select symbol, at_ts + interval 4 hours as known, close, lag(close) over (partition by symbol order by at_ts) as prev, ma, ma_rising from {_accumulated(14400)}),
+j as (select b.symbol, b.ts, b.volume_spike, b.ad_improving, b.ma_rising, m.close as mc, m.ma as mm, m.ad as ma_ad, m.ad_improving as mi, h.close as hc, h.prev as hp, h.ma as hm, h.ma_rising as hr
+  from b asof left join m on b.symbol = m.symbol and b.t0 >= m.known asof left join h on b.symbol = h.symbol and b.t0 >= h.known)
+select symbol, ts, (coalesce(mm is not null and ma_ad is not null and (ma_ad >= 0 or mi::int = 1) and mc >= mm * 0.995, false)
+   and not coalesce(hc < hm and hp < hm and hr::double = 0, false))::bigint as confirmed,
+ {r("least(0.95, 0.6 + case when volume_spike::int = 1 then 0.1 else 0 end + case when ad_improving::int = 1 then 0.1 else 0 end + case when ma_rising::double = 1 then 0.05 else 0 end)::double", 'confidence')} from j""",
     "experiments_two_arms": f"""with recursive {folds._MOM_ORDERS}, pb as (select *, row_number() over (partition by symbol order by ts) as m from om),
 pp as (select symbol || '|' || direction as setup, symbol, ts, m, hour(ts) as h from pb where direction is not null),
 {_CHAIN.format(key="setup", reach=6, of="pp")},

@@ -61,8 +61,9 @@ def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
     return clean_reports(spark.read.csv(path, header=True, quote='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True))
 
 
-def read_report_zips(spark: SparkSession, path: str) -> DataFrame:
-    """All archives under a path, one for each year; an unreadable one is skipped, of equal dates the last in file order stays."""
+def read_report_zips(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Reports from start to end, both included, of all archives under a path, one for each year; an unreadable one is skipped, of equal dates the
+    last in file order stays. Archives whose name holds one year, outside the range, aren't read."""
     fields = ", ".join(f"{n} string" for n in COLUMNS)
 
     def unzip(batches):
@@ -80,9 +81,17 @@ def read_report_zips(spark: SparkSession, path: str) -> DataFrame:
                 rows += [[*((r.get(pick[n]) or "").strip() for n in COLUMNS), name, i] for i, r in enumerate(reader)]
             yield pd.DataFrame(rows, columns=[*COLUMNS, "_file", "_row"])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, f"{fields}, _file string, _row long")
+    files = spark.read.format("binaryFile").load(path)
+    years = F.regexp_extract_all(F.element_at(F.split("path", "/"), -1), F.lit(r"((?:19|20)[0-9]{2})"), 1)
+    for given, keep in ((start, lambda y: years[0] >= y), (end, lambda y: years[0] <= y)):
+        if given:
+            files = files.where((F.size(years) != 1) | keep(given[:4]))
+    raw = files.select("path", "content").mapInPandas(unzip, f"{fields}, _file string, _row long")
     kept = raw.withColumnsRenamed({n: o[0] for n, o in COLUMNS.items()})
     reports = clean_reports(kept, ["_file", "_row"]).withColumn("_at", F.struct("_file", "_row"))
+    for given, keep in ((start, lambda d: F.col("date") >= d), (end, lambda d: F.col("date") <= d)):
+        if given:
+            reports = reports.where(keep(F.lit(given).cast("date")))
     return keep_last(reports, ["date"], "_at").drop("_at", "_file", "_row")
 
 

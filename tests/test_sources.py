@@ -50,6 +50,8 @@ def test_report_zip(spark, tmp_path):
     (tmp_path / "broken.zip").write_bytes(b"no archive")
     rows = P.read_report_zips(spark, str(tmp_path)).orderBy("date").collect()
     assert [(str(r.date), r.commercial_net, r.small_spec_long) for r in rows] == [("2022-12-06", 1003.0 - 6, 0.0), ("2023-01-03", -2.0, 7.0)]
+    assert [str(r.date) for r in P.read_report_zips(spark, str(tmp_path), end="2022-12-31").collect()] == ["2022-12-06"]
+    assert [str(r.date) for r in P.read_report_zips(spark, str(tmp_path), "2022-12-07", "2023-01-03").collect()] == ["2023-01-03"]
 
 
 def test_report_texts(spark, tmp_path):
