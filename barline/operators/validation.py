@@ -200,6 +200,19 @@ def shadow_verdict(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("fail_reasons", failed).withColumn("passed", F.size("fail_reasons") == 0)
 
 
+def regime_runs(base: DataFrame, shadow: DataFrame, regime: str = "symbol", bar_seconds: int = 3600, costs=None) -> DataFrame:
+    """(regime, base_sharpe, shadow_sharpe, drop, failed): both settings run over each regime's bars; a regime in which the changed one falls
+    by more than the least gain asked for is failed. A regime without bars of both gives no row. base, shadow: signals with the regime as a column."""
+    arms = base.withColumn("arm", F.lit("base")).unionByName(shadow.withColumn("arm", F.lit("shadow")), allowMissingColumns=True)
+    per_year = metrics.periods_per_year(bar_seconds)
+    curve = metrics.returns_of(simulate.folded(arms, ["arm", regime], costs, bar_seconds), ["arm", regime])
+    runs = curve.groupBy("arm", regime).agg(metrics.sharpe("ret", per_year).alias("sharpe"))
+    side = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("sharpe"))).alias(f"{arm}_sharpe")
+    both = runs.groupBy(regime).agg(side("base"), side("shadow")).dropna(subset=["base_sharpe", "shadow_sharpe"])
+    drop = F.col("base_sharpe") - F.col("shadow_sharpe")
+    return both.withColumns({"drop": drop, "failed": drop > SHARPE_GAIN_MIN})
+
+
 def evaluate(spark: SparkSession, signals: DataFrame, geometry=(8000, 1000, 1000), n_groups: int = 10, k_test: int = 2, n_trials: int = 1, bar_seconds: int = 3600, costs=None) -> DataFrame:
     """One verdict row for each symbol: in-sample run, walk-forward, CPCV, deflated Sharpe ratio and gate.
 

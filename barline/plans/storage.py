@@ -9,6 +9,7 @@ from ..operators import bars as B
 from ..operators import desk as K
 from ..operators import features as X
 from ..operators import signals as G
+from ..operators import validation as V
 from ..sources import candles as C
 from ..sources import stores as D
 from ..sources.scan import table, ticks
@@ -113,6 +114,13 @@ def q_two_arms(spark, d):
     return shown(K.two_arms(s, answers, 5).drop(*(f"{p}_total_return" for p in ("base", "other", "delta"))))
 
 
+def q_regime_runs(spark, d):
+    """Momentum as the base and the toy strategy as the changed setting, over each type of event as a regime's archive."""
+    keep = [*market.SIGNAL, "open", "high", "low", "close"]
+    base, shadow = (market._signals(spark, d, n).select(*keep) for n in ("momentum", "two_lower_closes_short"))
+    return shown(V.regime_runs(base, shadow))
+
+
 def _lenses(unit: str) -> str:
     of = lambda name: market.ORACLE[name].replace("date_trunc('hour'", f"date_trunc('{unit}'")
     return f"""(select c.*, {r('b.close', 'close')}, cvd_full, aggressor_bias, swing_high, swing_low, last_bos, in_premium from ({of('feat_context')}) c
@@ -124,7 +132,7 @@ _COLUMNS = ("close", "cvd_full", "aggressor_bias", "swing_high", "swing_low", "l
 
 QUERIES = {
     "store_dataset": q_store, "journal_lines": q_journal_lines, "source_csv": q_csv, "notes_relevant": q_notes, "text_video_ids": q_video_ids, "feat_live_fallback": q_live_fallback,
-    "stream_unique": q_unique, "signal_hypothesis": q_hypothesis_signals, "feat_lens_pack": q_lens_pack, "experiments_two_arms": q_two_arms,
+    "stream_unique": q_unique, "signal_hypothesis": q_hypothesis_signals, "feat_lens_pack": q_lens_pack, "experiments_two_arms": q_two_arms, "verdict_regimes": q_regime_runs,
 }
 
 def _accumulated(seconds: int) -> str:
@@ -138,6 +146,13 @@ def _accumulated(seconds: int) -> str:
 _ARM = "sharpe, n_trades, win_rate, mean_r"
 
 ORACLE = {
+    "verdict_regimes": f"""with recursive {folds._MOM_ORDERS}, {folds._TOY_ORDERS},
+sa as (select 'base|' || symbol as k, ts, open, high, low, close, direction, stop, target, false as news from om
+ union all select 'shadow|' || symbol, ts, open, high, low, close, direction, stop, target, false from ot),
+{folds.fold_sql('sa')}, {folds.curve_sql('z', 'k')},
+x as (select split_part(k, '|', 1) as arm, split_part(k, '|', 2) as symbol, sharpe from cm)
+select a.symbol, {r('a.sharpe', 'base_sharpe')}, {r('b.sharpe', 'shadow_sharpe')}, {r('a.sharpe - b.sharpe', 'drop')}, (a.sharpe - b.sharpe > {V.SHARPE_GAIN_MIN})::bigint as failed
+from x a join x b on a.symbol = b.symbol where a.arm = 'base' and b.arm = 'shadow'""",
     "signal_timeframes": f"""with b as (select *, at_ts as t0 from {_accumulated(3600)}),
 m as (select symbol, at_ts + interval 2 hours as known, close, ma, ad, ad_improving from {_accumulated(7200)}),
 h as (select symbol, at_ts + interval 4 hours as known, close, lag(close) over (partition by symbol order by at_ts) as prev, ma, ma_rising from {_accumulated(14400)}),
