@@ -189,13 +189,19 @@ def promotion(table: DataFrame) -> DataFrame:
     return table.withColumn("fail_reasons", failed).withColumn("verdict", F.when(F.size("fail_reasons") == 0, "PASS").otherwise("FAIL"))
 
 
+def at_most(a: Column, b: Column) -> Column:
+    """Whether a <= b. The last digits of means depend on the order of their terms; they must not decide where both are equal."""
+    return F.round(a - b, 12) <= 0
+
+
 def shadow_verdict(pairs: DataFrame) -> DataFrame:
     """Gates for a changed configuration against the base: columns base_* and shadow_* of sharpe, pbo, dsr, ruin,
-    and worst_regime_drop (null: no regimes)."""
+    and worst_regime_drop (null: no regimes). A value on its gate passes."""
+    gain = F.col("shadow_sharpe") - F.col("base_sharpe")
     failed = reasons([
-        ("sharpe_delta", F.col("shadow_sharpe") - F.col("base_sharpe") >= SHARPE_GAIN_MIN),
-        ("pbo", F.col("shadow_pbo") <= GATE["pbo_max"]), ("dsr", F.col("shadow_dsr") >= GATE["dsr_min"]),
-        ("ruin_prob", F.col("shadow_ruin") <= F.col("base_ruin")), ("regime", F.col("worst_regime_drop") <= SHARPE_GAIN_MIN),
+        ("sharpe_delta", at_most(F.lit(SHARPE_GAIN_MIN), gain)),
+        ("pbo", at_most(F.col("shadow_pbo"), F.lit(GATE["pbo_max"]))), ("dsr", at_most(F.lit(GATE["dsr_min"]), F.col("shadow_dsr"))),
+        ("ruin_prob", at_most(F.col("shadow_ruin"), F.col("base_ruin"))), ("regime", at_most(F.col("worst_regime_drop"), F.lit(SHARPE_GAIN_MIN))),
     ])
     return pairs.withColumn("fail_reasons", failed).withColumn("passed", F.size("fail_reasons") == 0)
 

@@ -287,6 +287,18 @@ def test_asof_by_spans_equals_asof(spark):
     assert J.asof_backward(left, right.limit(0), ["k"], ["v"], bucket_seconds=60).where("v is null").count() == 200
 
 
+def test_gates_of_changed_settings_on_their_edge(spark):
+    """Values that equal their gates but for the rounding of their sums pass; those beyond fail."""
+    from barline.operators import validation as V
+
+    mean = lambda x, n: sum([x] * n) / n
+    noisy = next(mean(0.04, n) for n in range(3, 999) if mean(0.04, n) * 5 > 0.2)
+    cols = "id int, base_sharpe double, shadow_sharpe double, shadow_pbo double, shadow_dsr double, base_ruin double, shadow_ruin double, worst_regime_drop double"
+    rows = [(1, 0.2, 0.3, noisy * 5, 0.95 - 1e-16, 0.3, 0.1 + 0.2, 0.1), (2, 0.2, 0.2999, 0.2001, 0.9499, 0.3, 0.3001, 0.1001), (3, None, 0.3, None, 0.99, 0.1, 0.05, None)]
+    got = {r.id: (r.fail_reasons, r.passed) for r in V.shadow_verdict(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {1: ([], True), 2: (["sharpe_delta", "pbo", "dsr", "ruin_prob", "regime"], False), 3: ([], True)}
+
+
 def test_first_target_of_a_list(spark):
     """Of several targets the first in the list that the bar reaches counts; the stop goes before them."""
     hour = lambda i: dt.datetime(2024, 1, 1, i)
