@@ -236,3 +236,14 @@ def test_cached_latest_keeps_what_a_fetch_brought(spark):
     source = spark.createDataFrame([(1, "x"), (9, "y"), (25, None), (31, "z")], "at long, report string")
     got = sorted((r.id, r.fetched, r.fetched_at, r.report) for r in spacing.cached_latest(requests, source, 10, ["report"]).collect())
     assert got == [(1, True, 0, None), (2, False, 0, None), (3, False, 0, None), (4, True, 10, "y"), (5, False, 10, "y"), (6, True, 30, None)]
+
+
+def test_cached_latest_of_reports_of_one_moment(spark):
+    """Of reports of the same moment the greatest counts, in whichever order they come."""
+    requests = spark.createDataFrame([(1, 3), (2, 4), (3, 25)], "id long, at long")
+    reports = [(2, "b"), (2, "c"), (2, "a"), (20, "x"), (20, "z"), (20, "y")]
+    for given in (reports, reports[::-1], sorted(reports)):
+        source = spark.createDataFrame(given, "at long, report string").coalesce(1)
+        for bucket in (None, 7):
+            got = sorted((r.id, r.report) for r in spacing.cached_latest(requests, source, 10, ["report"], bucket=bucket).collect())
+            assert got == [(1, "c"), (2, "c"), (3, "z")]
