@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
+from ..sources.scratch import removed, saved
 from .signals import VAGUE
 
 EVEN = 1e-9
@@ -318,10 +319,37 @@ def conditional_win_rates(trades: DataFrame, labels: dict[str, Column], least: i
     return by.where(F.col("n") >= least).withColumn("expectancy", 2 * F.col("win_rate") - (1 - F.col("win_rate")))
 
 
+def medians(values: DataFrame, keys: list[str], x: str = "x", accuracy: int = 10_000) -> DataFrame:
+    """(keys, n, median) of a double column without nulls, exact, of few groups: no task holds a group's values.
+
+    A sketch bounds the middle of each group, the rows below it are counted, and the distinct values within it (with their counts) are ranked.
+    The bounds are checked by the counts and widened, at last to the whole range, until they hold the median.
+    """
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    for reach in (min(3 / accuracy, 0.5), 0.05, 0.5):
+        ends = F.array(F.lit(0.5 - reach), F.lit(0.5 + reach))
+        bounds, path = saved(values.groupBy(*keys).agg(F.percentile_approx(x, ends, accuracy).alias("_ends")), "middles")
+        near = values.join(F.broadcast(bounds), same(values, bounds)).select(*(values[k] for k in keys), values[x], F.col("_ends")[0].alias("_low"), F.col("_ends")[1].alias("_high"))
+        below, upto = F.col(x) < F.col("_low"), F.col(x) <= F.col("_high")
+        counts, counted = saved(near.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(below).alias("_below"), F.count_if(upto).alias("_upto")), "ranks")
+        first, second = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+        if counts.where((F.col("_below") > first) | (F.col("_upto") <= second)).isEmpty():
+            break
+        removed(values.sparkSession, path, counted)
+    within = near.where(~below & upto).groupBy(*keys, x).agg(F.count("*").alias("_c"))
+    last = F.sum("_c").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = within.withColumn("_last", last).join(F.broadcast(counts), same(within, counts)).select(*(within[k] for k in keys), x, "_c", "_last", "n", "_below")
+    end = F.col("_below") + F.col("_last")
+    at = lambda rank: F.max(F.when((end > rank) & (end - F.col("_c") <= rank), F.col(x)))
+    return ranked.groupBy(*keys, "n").agg(((at(first) + at(second)) / 2).alias("median"))
+
+
 def winner_loser_medians(trades: DataFrame, features: list[str]) -> DataFrame:
     """(feature, winners, losers, separation): medians, and their distance over the summed standard deviations."""
     long = trades.select("win", F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))))
-    half = lambda w: F.percentile(F.when(F.col("win") == w, F.col("x")), F.lit(0.5))
     sd = lambda w: F.stddev_samp(F.when(F.col("win") == w, F.col("x")))
-    out = long.groupBy("feature").agg(half(1).alias("winners"), half(0).alias("losers"), (sd(1) + sd(0)).alias("_sd"))
+    spread = long.groupBy("feature").agg((sd(1) + sd(0)).alias("_sd"))
+    half = lambda w: F.max(F.when(F.col("win") == w, F.col("median")))
+    middles = medians(long.where("x is not null and win in (0, 1)"), ["feature", "win"]).groupBy("feature").agg(half(1).alias("winners"), half(0).alias("losers"))
+    out = spread.join(middles, "feature", "left").select("feature", "winners", "losers", "_sd")
     return out.withColumn("separation", F.when(F.col("_sd") > 0, (F.col("winners") - F.col("losers")) / F.col("_sd")).otherwise(0.0)).drop("_sd")

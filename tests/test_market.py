@@ -287,6 +287,25 @@ def test_asof_by_spans_equals_asof(spark):
     assert J.asof_backward(left, right.limit(0), ["k"], ["v"], bucket_seconds=60).where("v is null").count() == 200
 
 
+def test_medians_of_large_groups_are_in_no_single_task(spark):
+    """Exact medians from counts, also where a sketch's bounds are wide, values repeat or groups are tiny; no state holds a group's values."""
+    import random
+    import statistics
+
+    rng = random.Random(5)
+    rows = [(i % 2, rng.choice([1.0, 2.0, 3.0]), rng.lognormvariate(0, 3), None) for i in range(3001)] + [(None, 9.0, 9.0, 1.0), (0, None, None, 7.0), (0, 5.0, -1.0, 8.0)]
+    df = spark.createDataFrame(rows, "win int, a double, b double, c double").repartition(3)
+    out = L.winner_loser_medians(df, ["a", "b", "c"])
+    assert "percentile(" not in out._jdf.queryExecution().analyzed().toString()
+    got = {r.feature: (r.winners, r.losers) for r in out.collect()}
+    mid = lambda j, w: statistics.median([r[j] for r in rows if r[0] == w and r[j] is not None] or [math.nan])
+    assert got["a"] == (mid(1, 1), mid(1, 0)) and got["c"] == (None, 7.5)
+    assert got["b"] == pytest.approx((mid(2, 1), mid(2, 0)), rel=1e-12)
+    long = df.where("b is not null and win is not null").select("win", F.col("b").alias("x"))
+    coarse = {r.win: r["median"] for r in L.medians(long, ["win"], accuracy=100).collect()}
+    assert coarse == pytest.approx({w: mid(2, w) for w in (0, 1)}, rel=1e-12)
+
+
 def test_gates_of_changed_settings_on_their_edge(spark):
     """Values that equal their gates but for the rounding of their sums pass; those beyond fail."""
     from barline.operators import validation as V
