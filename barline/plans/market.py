@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
@@ -13,6 +13,7 @@ from ..operators import signals as G
 from ..operators import simulate as S
 from ..operators import validation as V
 from ..sources.scan import table, ticks
+from ..streaming import tape
 from .shape import KEY, NOW, R, ROWS, bars_sql, r, shown
 
 HOUR = 3600
@@ -343,10 +344,9 @@ def q_book(spark, d):
 
 def q_large_prints(spark, d):
     """Ticks larger than 1.5 times the median of the 200 before them, after 50."""
-    w = Window.partitionBy("symbol").orderBy("ts", "event_id")
-    before = w.rowsBetween(-200, -1)
-    df = ticks(spark, d).withColumns({"mid": F.percentile("size", F.lit(0.5)).over(before), "n": F.count("size").over(before)})
-    return shown(df.where((F.col("n") >= 50) & (F.col("mid") > 0) & (F.col("size") > 1.5 * F.col("mid"))).select("symbol", "event_id", (F.col("size") / F.col("mid")).alias("ratio")))
+    t = ticks(spark, d).select("symbol", "ts", F.col("event_id").alias("seq"), F.lit("buy").alias("side"), "price", "size")
+    return shown(tape.batch_tape(t, factor=1.5).where("print_ratio is not null").select("symbol", F.col("seq").alias("event_id"), F.col("print_ratio").alias("ratio")))
+
 
 
 QUERIES = {

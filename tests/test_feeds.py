@@ -247,3 +247,23 @@ def test_cached_latest_of_reports_of_one_moment(spark):
         for bucket in (None, 7):
             got = sorted((r.id, r.report) for r in spacing.cached_latest(requests, source, 10, ["report"], bucket=bucket).collect())
             assert got == [(1, "c"), (2, "c"), (3, "z")]
+
+
+def test_batch_tape_deals_a_symbol_out(spark):
+    """Runs of a symbol's trades give what one fold over all of them gives, with sizes missing, moments shared and a pause of days."""
+    rng = random.Random(8)
+    rows = [("A", START + dt.timedelta(seconds=i // 3 + (i > 2000) * 400_000), i, rng.choice(["buy", "sell"]), 1.0, None if 700 < i < 1000 or rng.random() < 0.05 else rng.choice([0.1, 1.0, 9.5])) for i in range(4000)]
+    rows += [(None, START, 1, "sell", 1.0, 2.5)]
+    trades = spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, side string, price double, size double").repartition(3)
+    dealt = tape.in_runs(trades, ["symbol"], ["ts", "seq"], "ts", 800, 200)
+    assert max(r["count"] for r in dealt.groupBy("symbol", "_run").count().collect()) == 1000 and dealt.where("_own").count() == len(rows)
+    got = {(r.symbol, r.seq): (r.cvd, r.print_ratio) for r in tape.batch_tape(trades, 90).collect()}
+    assert len(got) == len(rows) and got[None, 1] == (-2.5, None)
+    for i in range(4000):
+        size = rows[i][5]
+        held = [r[5] if r[3] == "buy" else -r[5] for r in rows[max(0, i - 89) : i + 1] if r[5] is not None]
+        last = sorted(r[5] for r in rows[max(0, i - 200) : i] if r[5] is not None)
+        mid = (last[(len(last) - 1) // 2] + last[len(last) // 2]) / 2 if len(last) >= 50 else None
+        cvd, ratio = got["A", i]
+        assert (cvd is None) == (not held) and (not held or abs(cvd - sum(held)) < 1e-9)
+        assert ratio == (size / mid if mid and size is not None and size > 5 * mid else None)
