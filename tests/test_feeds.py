@@ -267,3 +267,36 @@ def test_batch_tape_deals_a_symbol_out(spark):
         cvd, ratio = got["A", i]
         assert (cvd is None) == (not held) and (not held or abs(cvd - sum(held)) < 1e-9)
         assert ratio == (size / mid if mid and size is not None and size > 5 * mid else None)
+
+
+def test_table_feed_holds_bars_not_ticks(spark, tmp_path):
+    """Pages of a table of shuffled ticks, read in small batches: bars as over all ticks, and memory that doesn't grow with the ticks of a page."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng, n = np.random.default_rng(2), 400_000
+    ms = rng.permutation(n) * (20 * 3_600_000 // n)
+    value, size = rng.integers(1, 10**6, n) / 100, rng.integers(1, 9, n)
+    t = pa.table({
+        "event_id": np.arange(n), "ts": pa.array(1704067200_000_000 + ms * 1000, pa.timestamp("us")), "event_type": ["A"] * n, "value": value, "props": [f'{{"k": {k}}}' for k in size],
+    })
+    pq.write_table(t, f"{tmp_path}/e.parquet", row_group_size=50_000)
+    start, hour = 1704067200_000, 3_600_000
+    want = []
+    for h in range(20):
+        i = np.flatnonzero(ms // hour == h)
+        i = i[np.argsort(ms[i])]
+        want.append([start + h * hour, value[i[0]], value[i].max(), value[i].min(), value[i[-1]], float(size[i].sum())])
+    del t
+    for end in (None, start + 20 * hour):
+        feed = candles.TableFeed(f"{tmp_path}/e.parquet", hour, end)
+        pool = pa.system_memory_pool()
+        before = pa.default_memory_pool()
+        pa.set_memory_pool(pool)
+        try:
+            assert feed("A", start, 7) == want[:7] and feed("A", start + 7 * hour - 5, 30) == want[7:]
+            assert feed("B", start, 7) == []
+            assert pool.max_memory() < 16e6, pool.max_memory()
+        finally:
+            pa.set_memory_pool(before)
