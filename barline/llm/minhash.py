@@ -11,7 +11,8 @@ matches with probability below 1e-6.
 Scale: the pairs of a list are never all emitted. First each member is compared with the list's first
 class; lists whose members are then all in one component are done. In the others (where they are so many that
 the last step would be dear, after further members served as pivots) the members outside the list's largest component
-are held against those of other components within the join: only pairs pass whose bitmaps of shingles allow a similarity of
+are held against those of other components, in blocks: of a list's outsiders and members about BLOCK each meet in one group, sizes
+that don't fit are left out by their order, and the bitmaps of the rest are compared on arrays. Only pairs pass whose bitmaps of shingles allow a similarity of
 0.75, an upper bound that loses no link. So no pair of different components is left open, and what is emitted is near the number
 of links. All joins on a list or a pivot are plain joins that the adaptive skew join splits.
 
@@ -38,6 +39,10 @@ PREFIX = COORDS - MATCHES + 1
 ROUNDS, CROWD = 6, 500
 #: 64-bit words of a set's bitmap.
 BITS = 32
+#: Members of a list that meet as many others in one group.
+BLOCK = 512
+#: Pairs whose bitmaps are compared at once.
+AT_ONCE = 1 << 13
 
 _draw = np.random.default_rng(20240229)
 SALT = _draw.integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -59,8 +64,11 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = lists.flatten().dictionary_encode()
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    empty = np.fromiter((not w for w in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
+    known = coded.dictionary.cast(pa.large_binary())
+    at = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1] if len(known) else np.zeros(1, np.int64)
+    data = known.buffers()[2].to_pybytes() if at[-1] else b""
+    hashed = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())), np.uint64, len(known))
+    empty = np.diff(at) == 0
     codes = np.asarray(coded.indices)
     owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
     keep = ~empty[codes] if len(codes) else np.zeros(0, bool)
@@ -74,7 +82,8 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     out = []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if b - a >= SHINGLE:
-            out.append(np.unique(grams[a : b - SHINGLE + 1]))
+            own = np.sort(grams[a : b - SHINGLE + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif b > a:
             whole = (word[a:b] * PLACE[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
             out.append(mixed(np.array([whole], np.uint64)))
@@ -115,11 +124,11 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     """One bit for each shingle's hash. A bit of one set that another lacks stands for a shingle it lacks."""
     on = np.zeros(BITS * 64, np.uint8)
     on[(shingles * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40)).astype(np.int64) % len(on)] = 1
-    return np.packbits(on).view(np.int64)
+    return np.packbits(on)
 
 
 def full_sets(df: DataFrame) -> DataFrame:
-    """(id, shingles array<long>, bits array<long>) for (id, text)."""
+    """(id, shingles array<long>, bits binary) for (id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -127,15 +136,11 @@ def full_sets(df: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column("text"))
                 edge = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
-                bits = np.concatenate([bitmap(s) for s in sets])
-                each = np.arange(len(sets) + 1, dtype=np.int32) * BITS
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat)), pa.ListArray.from_arrays(pa.array(each), pa.array(bits))],
-                    ["id", "shingles", "bits"],
-                )
+                bits = pa.array([bitmap(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat)), bits], ["id", "shingles", "bits"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, shingles array<long>, bits array<long>")
+    return df.mapInArrow(run, f"id {kind}, shingles array<long>, bits binary")
 
 
 def postings(classes: DataFrame) -> tuple[DataFrame, str]:
@@ -163,18 +168,75 @@ def sizes_fit(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * 75) & (F.col(b) * 100 >= F.col(a) * 75)
 
 
-def spread_bits(sets: DataFrame, prefix: str) -> DataFrame:
-    """(rep, prefix0 ..., prefixn): a set's bitmap as columns, and how many bits are on."""
-    words = [F.get("bits", F.lit(i)) for i in range(BITS)]
-    return sets.select("rep", *(w.alias(f"{prefix}{i}") for i, w in enumerate(words)), sum((F.bit_count(w) for w in words), F.lit(0)).alias(f"{prefix}n"))
-
+def block_pairs(group, far, rep, n, component, main, bits) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of members of one group: i is far (outside the list's main component), j of another component than i, and sizes
+    and bitmaps leave room for a similarity of 0.75: each bit that one set alone has is a shingle outside the intersection.
+
+    Of two far members the one of the smaller `rep` is i. All arrays have an entry for each member; `bits` has BITS words each.
+    """
+    group = np.unique(group, return_inverse=True)[1].astype(np.int64)
+    near = np.flatnonzero(far == 0)
+    near = near[np.lexsort((n[near], group[near]))]
+    outside = np.flatnonzero(far == 1)
+    # sizes are below 2 ** 40: a group's members by size lie between two places
+    key, base = (group[near] << 40) + n[near], group[outside] << 40
+    first = np.searchsorted(key, base + -(-n[outside] * 75 // 100))
+    count = np.maximum(np.searchsorted(key, base + n[outside] * 100 // 75, "right") - first, 0)
+    ends = np.cumsum(count)
+    on = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    # members are taken in turns of about AT_ONCE pairs
+    turn = np.searchsorted(ends, np.arange(AT_ONCE, ends[-1] + AT_ONCE, AT_ONCE)) + 1 if len(ends) else []
+    for x, y in zip([0, *turn], turn):
+        c = count[x:y]
+        i = np.repeat(outside[x:y], c)
+        j = near[np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[x:y], c)]
+        fits = (component[i] != component[j]) & ((component[j] == main[j]) | (rep[i] < rep[j]))
+        i, j = i[fits], j[fits]
+        both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        most = np.minimum(n[i] - on[i], n[j] - on[j]) + both
+        hit = most * 100 >= (n[i] + n[j] - most) * 75
+        found.append((i[hit], j[hit]))
+    return tuple(np.concatenate(z) for z in zip(*found))
+
+
+def crossed(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs within a list, of different components, whose sizes and bitmaps allow a similarity of 0.75.
+
+    members: (token, rep, n, component, main, out, size); sets: (rep, bits). A list's outsiders and all its members are dealt out
+    in blocks, each block of the one meeting each of the other in a group of its own.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
+    rows = members.join(sets.select("rep", "bits"), "rep").withColumns({
+        "fars": F.ceil(F.col("out") / BLOCK).cast("int"), "nears": F.ceil(F.col("size") / BLOCK).cast("int"), "h": F.xxhash64("rep"),
+    })
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    each = F.struct("far", "rep", "n", "component", "main", "bits").alias("m")
+    outside = rows.where("component <> main").withColumns({"far": F.lit(1).cast("tinyint"), "fb": F.pmod("h", "fars").cast("int"), "nb": every("nears")})
+    inside = rows.withColumns({"far": F.lit(0).cast("tinyint"), "nb": F.pmod("h", "nears").cast("int"), "fb": every("fars")})
+    dealt = outside.select("token", "fb", "nb", each).unionByName(inside.select("token", "fb", "nb", each))
 
-def bits_allow(x: str, y: str, nx: str, ny: str):
-    """Whether the bitmaps leave room for a similarity of 0.75: each bit that one set alone has is a shingle outside
-    the intersection."""
-    both = sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.col(f"{y}{i}"))) for i in range(BITS)), F.lit(0))
-    most = F.least(F.col(nx) - F.col(f"{x}n") + both, F.col(ny) - F.col(f"{y}n") + both)
-    return most * 100 >= (F.col(nx) + F.col(ny) - most) * 75
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("ms")
+            sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+            # as many groups at a time as have about 4 MB of bitmaps
+            part = np.cumsum(sizes) // (1 << 14)
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(edges, edges[1:]):
+                flat = lists.slice(x, y - x).flatten()
+                if not len(flat):
+                    continue
+                far, n = (np.asarray(flat.field(c)) for c in ("far", "n"))
+                # ids of any type as numbers in their order
+                names = pa.concat_arrays([flat.field(c) for c in ("rep", "component", "main")])
+                rank = pc.rank(names, tiebreaker="dense").to_numpy().astype(np.int64).reshape(3, -1)
+                bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint64).reshape(-1, BITS)
+                i, j = block_pairs(np.repeat(np.arange(y - x), sizes[x:y]), far, rank[0], n, rank[1], rank[2], bits)
+                rep = flat.field("rep")
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(i)), rep.take(pa.array(j))], ["a", "b"])
+
+    return dealt.groupBy("token", "fb", "nb").agg(F.collect_list("m").alias("ms")).select("ms").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 class Linker:
@@ -247,13 +309,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
             break
         outside = open_lists.where("component <> main")
         if cost.c <= CROWD * cost.n or turn == ROUNDS:
-            far = outside.select("token", "rep", F.col("n").alias("an"), F.col("component").alias("ac")).join(spread_bits(sets, "x"), "rep")
-            near = open_lists.join(spread_bits(sets, "y"), "rep")
-            # of two members outside the main component, each finds the other; once is enough
-            pairs = far.withColumnRenamed("rep", "a").join(near, "token").where(
-                (F.col("ac") != F.col("component")) & sizes_fit("an", "n") & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("rep")))
-                & bits_allow("x", "y", "an", "n")
-            ).select("a", F.col("rep").alias("b"))
+            pairs = crossed(open_lists, sets)
         else:
             pivot = outside.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "component")).alias("pivot"))
             pairs = open_lists.join(pivot, "token").where(

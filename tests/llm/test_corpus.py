@@ -149,6 +149,48 @@ def test_near_copies_with_every_round(spark, near_texts, monkeypatch):
     assert [r.component_id for r in got] == [c for _, c in brute_near(near_texts)]
 
 
+def test_near_copies_of_hot_lists_meet_in_blocks(spark, monkeypatch):
+    """Members of a list that no link joins to its main part are compared in groups of bounded size, and none is left out."""
+    rng = random.Random(5)
+    base = prose(rng, 120).split()
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS) + str(rng.randint(0, 9))
+        texts.append(" ".join(w))
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "AT_ONCE", 16)
+    compared = minhash.block_pairs
+    counted = spark.sparkContext.accumulator(0)
+
+    def watched(group, *rest):
+        counted.add(len(group))
+        assert np.bincount(group).max() <= 60
+        return compared(group, *rest)
+
+    monkeypatch.setattr(minhash, "block_pairs", watched)
+    got = minhash.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == brute_near(texts)
+    assert counted.value > 0 and len({r.component_id for r in got}) > 3
+
+
+def test_block_pairs_lose_no_link():
+    rng = np.random.default_rng(1)
+    m, base = 150, rng.integers(0, 1 << 63, (3, 200)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([b[rng.random(200) < rng.choice([0.97, 0.85])], rng.integers(0, 1 << 63, 10).astype(np.uint64)])) for b in base[rng.integers(0, 3, m)]]
+    group, far, rep, component, main = rng.integers(0, 4, m), rng.integers(0, 2, m), rng.permutation(m), rng.integers(0, 5, m), rng.integers(0, 2, m)
+    n, bits = np.array([len(s) for s in sets]), np.stack([minhash.bitmap(s).view(np.uint64) for s in sets])
+    i, j = minhash.block_pairs(group, far, rep, n, component, main, bits)
+    got = set(zip(i.tolist(), j.tolist()))
+    asked = {
+        (x, y) for x in range(m) for y in range(m)
+        if far[x] and not far[y] and group[x] == group[y] and component[x] != component[y] and (component[y] == main[y] or rep[x] < rep[y])
+    }
+    links = {(x, y) for x, y in asked if 100 * len(np.intersect1d(sets[x], sets[y])) >= 75 * len(np.union1d(sets[x], sets[y]))}
+    assert len(got) == len(i) and links and links <= got <= asked and len(got) < len(asked) / 2
+
+
 def test_near_copies_odd(odd, none):
     r = {x.doc_id: x for x in minhash.near_duplicates(odd).collect()}
     assert r[1].n_shingles == 0 and r[1].component_id == 1 and r[None].component_id is None and not r[None].kept
