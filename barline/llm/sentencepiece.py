@@ -155,7 +155,9 @@ def build_tokenizer(m: PieceModel):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
     hidden = [decoders.Replace(UNMATCHED, "")] if m.model_type == UNIGRAM else []
     ends = [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
-    t.decoder = decoders.Sequence([*hidden, decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
+    # every mark is a space, wherever it stands: the first one goes at the ends
+    spaces = decoders.Metaspace(replacement=SPACE, prepend_scheme="never")
+    t.decoder = decoders.Sequence([*hidden, spaces, decoders.ByteFallback(), decoders.Fuse(), *ends])
     return t
 
 

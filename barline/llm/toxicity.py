@@ -28,6 +28,8 @@ from .shared import free_names
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?;])\s+|\n+")
+#: Cuts the same words apart; each branch begins with a character, so the scan skips all others.
+BETWEEN = re.compile(r"\.\s+|!\s+|\?\s+|;\s+|\n\n*")
 BEGINNINGS = (4, 5, 6)
 MAX_FEATURES = 3000
 MEMO = 200_000
@@ -38,22 +40,30 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in BEGINNINGS if len(word) >= n)]
 
 
+class WordWeights(dict):
+    """The weight of each word asked for, kept for at most MEMO words."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+        #: Of all features; a word that begins otherwise has none.
+        self.heads = {f[: min(BEGINNINGS)] for f in weights}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > MEMO:
+            self.clear()
+        get = self.weights.get
+        self[word] = found = sum(get(f, 0.0) for f in features(word)) if word[: min(BEGINNINGS)] in self.heads else 0.0
+        return found
+
+
 @dataclass
 class BagModel:
     weights: dict[str, float]
     bias: float
 
     def __post_init__(self):
-        self.memo: dict[str, float] = {}
-
-    def weight(self, word: str) -> float:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            get = self.weights.get
-            found = self.memo[word] = sum(get(f, 0.0) for f in features(word))
-        return found
+        self.weight = WordWeights(self.weights).__getitem__
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of every sentence, in code points."""
@@ -70,8 +80,7 @@ class BagModel:
         """Noisy-or over the sentences."""
         weight, log = self.weight, 0.0
         total, plain = 0, np.log1p(-sigmoid(self.bias))
-        for s in SENTENCE_END.split(text.lower()):
-            words = WORD.findall(s)
+        for words in map(WORD.findall, BETWEEN.split(text.lower())):
             if words:
                 x = sum(map(weight, words))
                 if x:

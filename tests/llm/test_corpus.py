@@ -293,6 +293,20 @@ def test_unigram_model(tmp_path):
     assert c.decode(flat, n) == texts
 
 
+def test_piece_decoder_turns_every_mark_into_a_space(model_path):
+    from tokenizers import decoders
+
+    c = sentencepiece.PieceCodec(model_path, 1, False)
+    plain = decoders.Sequence([decoders.Replace(sentencepiece.SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)])
+    size, rng = c.tokenizer.get_vocab_size(), random.Random(3)
+    marks = [i for i, p in enumerate(c.model.pieces) if p.count(sentencepiece.SPACE) > 1 or p == sentencepiece.SPACE]
+    lists = [[rng.choice([rng.randrange(size), rng.choice(marks), rng.randrange(300)]) for _ in range(rng.randint(0, 12))] for _ in range(3000)]
+    got = c.tokenizer.decode_batch(lists, skip_special_tokens=False)
+    assert "Metaspace" in str(c.tokenizer.decoder)
+    c.tokenizer.decoder = plain
+    assert got == c.tokenizer.decode_batch(lists, skip_special_tokens=False)
+
+
 def test_pieces_odd(odd, none, model_path):
     r = sentencepiece.encode_and_decode(odd, model_path).collect()
     assert len(r) == odd.count() and all(x.lossless and x.parity for x in r)
@@ -571,6 +585,18 @@ def test_toxicity_learns_from_documents_and_locates():
     assert m.score(t) == pytest.approx(1 - np.prod([1 - q for _, _, q in m.sentences(t)]), abs=1e-6)
 
 
+def test_toxicity_scan_cuts_the_same_words_apart():
+    """The scoring scan and the sentences that are located hold the same words, and a word's weight is that of its features."""
+    rng = random.Random(4)
+    weights = {"bad": 1.5, "fool": 2.0, "fool~": -0.25, "foolis~": 0.5, "né": 0.75, "str": -1.0, "ängst~": 0.3}
+    m = toxicity.BagModel(weights, -3.0)
+    for _ in range(400):
+        text = "".join(rng.choice([*".!?;\n \t\x0b_0é", "\u2028", "\u00a0", "bad", "Fool", "foolish", "né", "STR", "ängstlich", "x"]) for _ in range(rng.randint(0, 40))).lower()
+        cut = [[w for w in toxicity.WORD.findall(t)] for t in toxicity.SENTENCE_END.split(text)]
+        assert [w for w in cut if w] == [w for w in map(toxicity.WORD.findall, toxicity.BETWEEN.split(text)) if w]
+        assert all(m.weight(w) == sum(weights.get(f, 0.0) for f in toxicity.features(w)) for words in cut for w in words)
+
+
 def test_toxicity_query(spark, data):
     r = Q.op9_toxicity(spark, data)
     assert r.where("score < 0 or score > 1 or score is null").count() == 0 and r.count() == spark.read.parquet(f"{data}/documents.parquet").count()
